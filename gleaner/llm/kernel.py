@@ -17,6 +17,8 @@ CHUNK_BYTES = 1 << 21
 _M64 = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: White space and all other ASCII characters that are neither letters nor digits.
+_PLAIN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20260101)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -29,8 +31,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pow, _inv
     if _pow is None or len(_pow) < n:
         size = max(n, CHUNK_BYTES + 65536)
-        _pow = np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, _R)]).astype(np.uint64))
-        _inv = np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, pow(_R, -1, 1 << 64))]).astype(np.uint64))
+        _pow, _inv = np.full(size, _R, np.uint64), np.full(size, pow(_R, -1, 1 << 64), np.uint64)
+        _pow[0] = _inv[0] = 1
+        _pow, _inv = np.multiply.accumulate(_pow), np.multiply.accumulate(_inv)
     return _pow, _inv
 
 
@@ -62,19 +65,26 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the documents, and where each document's words start (one more entry than documents)."""
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the documents, and where each document's words start (one more entry than documents).
+
+    lower: without regard to ASCII case.  plain: ASCII punctuation divides words too."""
+    return word_spans(data, offsets, lower, plain)[:2]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words(), and each word's first and last byte, counted from offsets[0]."""
     base, end = int(offsets[0]), int(offsets[-1])
     b = data[base:end]
     n = len(b)
     rel = offsets - base
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if lower:
         b = _LOWER[b]
     edge = np.zeros(n + 1, dtype=bool)
     edge[rel] = True
-    space = _SPACE[b]
+    space = (_PLAIN if plain else _SPACE)[b]
     solid = ~space
     before = np.empty(n, dtype=bool)
     before[0] = True
@@ -88,7 +98,27 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     total = np.cumsum(_BYTE_VALUE[b] * power[:n], dtype=np.uint64)
     first = np.where(starts > 0, total[starts - 1], np.uint64(0))
     h = mix((total[ends] - first) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, rel)
+    return h, np.searchsorted(starts, rel), starts, ends
+
+
+def stems(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words without ASCII case and punctuation, and of their beginnings of the given sizes in bytes (of longer
+    words); the document of each hash; and every document's number of words."""
+    h, bounds, starts, ends = word_spans(data, offsets, lower=True, plain=True)
+    n_words = np.diff(bounds)
+    doc = np.repeat(np.arange(len(offsets) - 1), n_words)
+    if not len(h):
+        return h, doc, n_words
+    b = _LOWER[data[int(offsets[0]) : int(offsets[-1])]]
+    power, inverse = _powers(len(b))
+    total = np.cumsum(_BYTE_VALUE[b] * power[: len(b)], dtype=np.uint64)
+    first = np.where(starts > 0, total[starts - 1], np.uint64(0))
+    hashes, docs = [h], [doc]
+    for size in sizes:
+        long_ = np.flatnonzero(ends - starts >= size)
+        hashes.append(mix((total[starts[long_] + size - 1] - first[long_]) * inverse[starts[long_]] + np.uint64(size << 32)))
+        docs.append(doc[long_])
+    return np.concatenate(hashes), np.concatenate(docs), n_words
 
 
 def ngrams(h: np.ndarray, bounds: np.ndarray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:

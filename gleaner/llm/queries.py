@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, mixing, secrets, token_store
+from pyspark.sql import functions as F
+
+from . import byte_bpe, mixing, near_vectors, nearest, secrets, token_store, toxicity
 from .shared import work_folder
 
 
@@ -26,6 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "token-store")
     token_store.write(documents(spark, sf_dir), path, _tokenizer("word_bpe_49k.json"), end_id=2)
@@ -36,6 +42,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.findings(documents(spark, sf_dir)))
 
@@ -44,7 +55,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern(), digest=True)
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.Index(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).search(F.col("id") % 100 == 0, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_token_store, op5_mixing, op7_secrets, op9_byte_bpe)
+    f.__name__: f for f in (op3_near_vectors, op4_token_store, op5_mixing, op6_toxicity, op7_secrets, op9_byte_bpe, op10_nearest)
 }
 ORACLE_SQL: dict[str, str] = {}

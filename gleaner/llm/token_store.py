@@ -18,50 +18,123 @@ documents of their own, one after another; extra columns are not read; no docume
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from .kernel import mix, squeeze, unsqueeze
+from .kernel import chunks, mix, squeeze, text_buffers, unsqueeze, word_spans, words
 from .shared import free_shuffles, parts, prefix_sums
 
 WINDOW, MASK, LEAST, MOST = 8, (1 << 10) - 1, 128, 8192
 FLUSH_BYTES = 24 << 20
-PIECE = re.compile(r"[^\x20\x09-\x0D]+")
-CACHE = 400_000
-_tokenizers: dict[str, tuple] = {}
+CACHE = 2_500_000
+_coders: dict[str, Coder] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _tokenizers:
+class Coder:
+    """A tokenizer with the ids of the words met so far: word hashes in order, and each word's stretch of one pool of ids."""
+
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
-
-
-def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text.  The vocabulary's splitter never joins over white space, so each run of other characters is
-    encoded by the library once and kept."""
-    tok, known = _tokenizer(path)
-    if len(known) > CACHE:
-        known.clear()
-    split = [PIECE.findall(t) for t in texts]
-    new = list({w for s in split for w in s} - known.keys())
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join([known[w] for w in s]), "<u4") for s in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash stands in keys, and whether it is there."""
+        k = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        return k, (self.keys[k] == h) if len(self.keys) else np.zeros(len(h), bool)
+
+    def insert(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        h, first = np.unique(h, return_index=True)
+        where = np.searchsorted(self.keys, h)
+        self.keys, self.at, self.size = np.insert(self.keys, where, h), np.insert(self.at, where, at[first]), np.insert(self.size, where, size[first])
+
+    def learn(self, names: np.ndarray, found: list[str]) -> None:
+        """Takes in new words.  The library lowers letters and splits a full stop or comma from a letter before it, so
+        ASCII words are encoded once without case and such an end."""
+        base = [(w[:-1] if w[-1] in ".," and w[-2:-1].isalnum() else w).lower() if w.isascii() else w for w in found]
+        tail = np.array([0 if len(b) == len(w) or not w.isascii() else 1 + (w[-1] == ",") for b, w in zip(base, found, strict=True)])
+        for kind in (".", ","):
+            base.append(kind)
+        raw = np.frombuffer(" ".join(base).encode(), np.uint8)
+        h = words(raw, np.array([0, len(raw)]))[0]
+        u, first = np.unique(h, return_index=True)
+        new = first[~self.place(u)[1]]
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast([base[i] for i in part], add_special_tokens=False)]
+            size = np.array([len(x) for x in rows], np.int64)
+            self.insert(h[part], self.append(np.fromiter((i for x in rows for i in x), np.uint32, int(size.sum())), size), size)
+        k = self.place(h)[0]
+        at, size = self.at[k], self.size[k]
+        ends = [self.pool[at[-2] : at[-2] + size[-2]], self.pool[at[-1] : at[-1] + size[-1]]]
+        at, size = at[:-2], size[:-2]
+        for t in (1, 2):
+            if len(who := np.flatnonzero(tail == t)):
+                extra = len(ends[t - 1])
+                grown = size[who] + extra
+                first = np.cumsum(grown) - grown
+                ids = np.empty(int(grown.sum()), np.uint32)
+                inner = np.repeat(first, size[who]) + _ramp(size[who])
+                ids[inner] = self.pool[np.repeat(at[who], size[who]) + _ramp(size[who])]
+                for j in range(extra):
+                    ids[first + size[who] + j] = ends[t - 1][j]
+                at[who] = self.append(ids, grown)
+                size[who] = grown
+        fresh = ~self.place(names)[1]
+        self.insert(names[fresh], at[fresh], size[fresh])
+
+    def append(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        return at
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each document.  The vocabulary's splitter never joins over white space, so each run of other
+        characters is encoded by the library once and kept."""
+        if len(self.keys) > CACHE:
+            self.clear()
+        h, bounds, starts, ends = word_spans(data, offsets)
+        u, first = np.unique(h, return_index=True)
+        miss = ~self.place(u)[1]
+        if miss.any():
+            raw = data[offsets[0] : offsets[-1]].tobytes()
+            self.learn(u[miss], [raw[a : b + 1].decode() for a, b in zip(starts[first[miss]].tolist(), ends[first[miss]].tolist(), strict=True)])
+        k = self.place(h)[0]
+        size = self.size[k]
+        ids = self.pool[np.repeat(self.at[k], size) + _ramp(size)]
+        cuts = np.concatenate([[0], np.cumsum(size)])[bounds]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _ramp(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive stretches."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
+def coder(path: str) -> Coder:
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path]
 
 
 def cut(ids: np.ndarray) -> list[tuple[int, int]]:
@@ -109,27 +182,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col
     """Encodes every whole text of docs and stores the ids below path.  tokenizer: the place of a tokenizers file on every machine."""
     spark = docs.sparkSession
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "chunk binary, n int, payload binary, refs array<struct<doc_id: long, uid: long, seq: int>>"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        c = coder(tokenizer)
         task, count = TaskContext.get().partitionId() << 33, 0
         held: dict[bytes, list] = {}
         size = 0
 
-        def flushed() -> pd.DataFrame:
-            return pd.DataFrame([(h, n, p, refs) for h, (n, p, refs) in held.items()], columns=["chunk", "n", "payload", "refs"])
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"chunk": h, "n": n, "payload": p, "refs": refs} for h, (n, p, refs) in held.items()], arrow)
 
         for df in batches:
-            texts, ids = [x if isinstance(x, str) else "" for x in df["text"]], df["id"].tolist()
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 2_000_000):
-                    chars += len(texts[to])
-                    to += 1
-                for key, x in zip(ids[at:to], encode_texts(texts[at:to], tokenizer), strict=True):
+            ids = df.column(0).to_pylist()
+            data, offsets = text_buffers(df.column(1))
+            for at, to in chunks(offsets):
+                for key, x in zip(ids[at:to], c.encode(data, offsets[at : to + 1]), strict=True):
                     x = np.append(x, np.uint32(end_id))
-                    key = None if key is None or key != key else int(key)
                     for seq, (a, b) in enumerate(cut(x)):
                         raw = x[a:b].astype("<u4").tobytes()
                         name = hashlib.blake2b(raw, digest_size=16).digest()
@@ -140,7 +212,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col
                         held[name][2].append({"doc_id": key, "uid": task + count, "seq": seq})
                         size += 60
                     count += 1
-                at = to
                 if size > FLUSH_BYTES:
                     yield flushed()
                     held.clear()
@@ -149,7 +220,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col
             yield flushed()
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    made = src.mapInPandas(run, "chunk binary, n int, payload binary, refs array<struct<doc_id: long, uid: long, seq: int>>")
+    made = src.mapInArrow(run, schema)
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
@@ -224,9 +295,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": df["doc_id"], "start": df["start"], "ids": ids})
 
     verify(spark, path)
-    chunks = spark.read.parquet(f"{path}/packs").where("payload is not null").select("chunk", "n", "payload")
+    packed = spark.read.parquet(f"{path}/packs").where("payload is not null").select("chunk", "n", "payload")
     r = spark.read.parquet(f"{path}/recipes").select("uid", "doc_id", "start", F.posexplode("chunks").alias("seq", "chunk"))
-    r = r.join(chunks, "chunk").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("seq", "chunk", "n", "payload"))).alias("cs"))
+    r = r.join(packed, "chunk").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("seq", "chunk", "n", "payload"))).alias("cs"))
     return r.select("doc_id", "start", "cs").mapInPandas(build, "doc_id long, start long, ids array<long>")
 
 
@@ -252,7 +323,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"doc_id": df["doc_id"], "start": df["start"], "n_tokens": size // 4, "ids_crc32": total.astype(np.int64)})
 
     verify(spark, path)
-    chunks = spark.read.parquet(f"{path}/packs").where("payload is not null").select("chunk", "n", "payload").mapInPandas(sums, "chunk binary, size long, crc long")
+    packed = spark.read.parquet(f"{path}/packs").where("payload is not null").select("chunk", "n", "payload").mapInPandas(sums, "chunk binary, size long, crc long")
     r = spark.read.parquet(f"{path}/recipes").select("uid", "doc_id", "start", F.posexplode("chunks").alias("seq", "chunk"))
-    r = r.join(chunks, "chunk").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("seq", "size", "crc"))).alias("cs"))
+    r = r.join(packed, "chunk").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("seq", "size", "crc"))).alias("cs"))
     return r.select("doc_id", "start", "cs").mapInPandas(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
