@@ -14,7 +14,6 @@ import pyarrow as pa
 import zstandard
 
 CHUNK_BYTES = 1 << 21
-_M64 = (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: White space and all other ASCII characters that are neither letters nor digits.
@@ -22,6 +21,7 @@ _PLAIN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20260101)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE_VALUE = np.random.Generator(np.random.PCG64(20260102)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = 0x9E3779B97F4A7C13
 _pow: np.ndarray | None = None
 _inv: np.ndarray | None = None
@@ -137,7 +137,7 @@ def ngrams(h: np.ndarray, bounds: np.ndarray, n: int, short: bool = False) -> tu
     at = bounds[:-1][doc] + (np.arange(total) - out_bounds[:-1][doc])
     out = np.zeros(total, np.uint64)
     for k in range(n):
-        c = np.uint64((0xD6E8FEB86659FD93 * (2 * k + 3) + k) & _M64 | 1)
+        c = _PLACE_VALUE[k]
         if short:
             inside = at + k < bounds[1:][doc]
             out += np.where(inside, h[np.minimum(at + k, len(h) - 1)] * c, np.uint64(0))

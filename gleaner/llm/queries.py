@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, kneser_ney, mixing, near_vectors, nearest, secrets, token_store, toxicity
+from . import byte_bpe, jaccard_join, kneser_ney, mixing, near_vectors, nearest, secrets, token_store, toxicity
 from .shared import work_folder
 
 
@@ -28,6 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf_dir), n=4, least=85)
+
+
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
     return kneser_ney.judge(documents(spark, sf_dir), trusted)
@@ -65,6 +69,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_kneser_ney, op3_near_vectors, op4_token_store, op5_mixing, op6_toxicity, op7_secrets, op9_byte_bpe, op10_nearest)
+    f.__name__: f for f in (op1_jaccard_join, op2_kneser_ney, op3_near_vectors, op4_token_store, op5_mixing, op6_toxicity, op7_secrets, op9_byte_bpe, op10_nearest)
 }
 ORACLE_SQL: dict[str, str] = {}
