@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .kernel import pack, text_buffers, unpack
 
 #: Bytes of text in a block: what a task holds at once, whatever the size of its partition (a longer text is a block of its own).
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def shards(spark) -> int:
