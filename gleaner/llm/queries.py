@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, kneser_ney, mixing, near_vectors, nearest, secrets, token_store, toxicity
+from . import byte_bpe, jaccard_join, kneser_ney, mixing, near_vectors, nearest, secrets, substring_dedup, token_store, toxicity
 from .shared import work_folder
 
 
@@ -60,6 +60,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.findings(documents(spark, sf_dir)))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir), size=13)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"), _pattern(), digest=True)
 
@@ -69,6 +73,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard_join, op2_kneser_ney, op3_near_vectors, op4_token_store, op5_mixing, op6_toxicity, op7_secrets, op9_byte_bpe, op10_nearest)
+    f.__name__: f for f in (op1_jaccard_join, op2_kneser_ney, op3_near_vectors, op4_token_store, op5_mixing, op6_toxicity, op7_secrets, op8_substring_dedup, op9_byte_bpe, op10_nearest)
 }
 ORACLE_SQL: dict[str, str] = {}
