@@ -21,12 +21,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prefix_sums
+from .shared import prefix_sums, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
 #: Sources and membership patterns are gathered on the driver; they are names in a mixing plan, not data.
 MOST_PATTERNS = 1 << 20
+#: Drawn ids that are broadcast; beyond that they are joined by a shuffle.
+MOST_IDS = 2_000_000
 
 
 @dataclass
@@ -153,3 +155,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     chosen = F.col("fits") | F.coalesce((F.col("_k") == F.col("last._k")) & F.col("id").eqNullSafe(F.col("last.id")) & (F.col("size") == F.col("last.size")), F.lit(False))
     extra = F.when(F.coalesce(chosen, F.lit(False)), F.col("size")).otherwise(F.lit(0))
     return placed.select(F.col("id").alias(id_col), "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.coalesce("full", F.lit(0)) + extra).cast("long").alias("taken"))
+
+
+def drawn(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, each row as often as the mix takes it (0 to `most` times).  mixed: rows of mix().
+
+    Rows of one id and size share the most that any of them is taken; rows without words are not drawn."""
+    times = mixed.where("taken > 0").groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.max(F.expr("taken div size")).cast("int").alias("_times"))
+    times = stored(times, "drawn")
+    if times.count() <= MOST_IDS:
+        times = F.broadcast(times)
+    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.join(times, docs[id_col].eqNullSafe(times["_id"]) & (size == times["_size"]))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
