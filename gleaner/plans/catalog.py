@@ -15,9 +15,9 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 SLOTS = ("STATUS", "TOTAL", "DATE", "PRIORITY")
 HINTS = ["order", "price"]
-#: Requests of the needle queries: literal rows; needles are common letter groups of the invented languages.
+#: Requests of the needle queries: literal rows; two common words and one that no text holds.
 REQUESTS = [
-    ("r1", ["ka", "to 1", "zzqx"], ["to 1"], "count", 900),
+    ("r1", ["the", "and", "zzqx"], ["and"], "count", 900),
     ("r2", ["password", "token", "secret"], ["secret"], "fact", 1800),
     ("r3", ["license", "copyright"], [], "list", 3500),
 ]
@@ -177,10 +177,10 @@ def column_types(s, d):
     return profile.column_types(tables.table(s, d, "orders"))
 
 
-@query(f"""WITH m AS (SELECT name, value FROM (SELECT p_name, p_brand, p_type FROM part) UNPIVOT (value FOR name IN (*)))
+@query(f"""WITH m AS (SELECT name, value FROM (SELECT s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier) UNPIVOT (value FOR name IN (*)))
 SELECT name, value, regexp_matches(lower(value), '{profile.ERROR_LIKE}') AS error_like FROM m GROUP BY name, value HAVING count(*) = 1""")
 def rare_values(s, d):
-    return profile.rare_values(tables.table(s, d, "part").select("p_name", "p_brand", "p_type"))
+    return profile.rare_values(tables.table(s, d, "supplier").select("s_name", "s_nationkey"))
 
 
 @query(f"""WITH {LOG}, signs AS (SELECT regexp_replace(regexp_replace(regexp_replace(line, {STAMP}, ''), '0x[0-9a-fA-F]+', '0x<hex>', 'g'), '[0-9]{{4,}}', '<num>', 'g') AS value, count(*) AS n FROM lines GROUP BY 1 HAVING count(*) > 1)
