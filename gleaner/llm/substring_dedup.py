@@ -215,8 +215,8 @@ def found_windows(rows: DataFrame, size: int) -> DataFrame:
             doc, at, count, key = doc[keep], at[keep], count[keep], key[keep]
             # equal stretches once: their words' running hash tells them apart
             length = count + size - 1
-            sums = np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(0xA5A5)) * (np.arange(1, len(h) + 1, dtype=np.uint64)), dtype=np.uint64)])
-            plain = np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(0xA5A5)), dtype=np.uint64)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0xA5A5)) * (np.arange(1, len(h) + 1, dtype=np.uint64)), dtype=np.uint64)])
+            plain = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0xA5A5)), dtype=np.uint64)])
             name_of = mix(sums[at + length] - sums[at] - (plain[at + length] - plain[at]) * at.astype(np.uint64) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ key
             _, first, kind = np.unique(name_of, return_index=True, return_inverse=True)
             kind = kind.ravel()
