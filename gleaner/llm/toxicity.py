@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import chunks, deltas, pack, stems, text_buffers, undeltas, unpack
+from .kernel import chunks, stems, text_buffers
+from .shared import stored
 
 SAMPLE_P, SAMPLE_U, FEATURES = 5_000, 20_000, 2_048
 THRESHOLD = 0.7
@@ -52,7 +53,9 @@ class Model:
 def counted(data: np.ndarray, offsets: np.ndarray, features: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, hash and count of every feature (of those given) in every document, and the documents' numbers of words."""
     h, doc, n_words = stems(data, offsets, STEMS)
-    if features is not None and len(features):
+    if features is not None and not len(features):
+        h, doc = h[:0], doc[:0]
+    elif features is not None:
         keep = np.flatnonzero(features[np.minimum(np.searchsorted(features, h), len(features) - 1)] == h)
         h, doc = h[keep], doc[keep]
     order = np.lexsort((h, doc))
@@ -83,9 +86,35 @@ def chosen(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, fl
     return p, u, float(prior or 0.0)
 
 
-def gathered(docs: DataFrame, ids: DataFrame, features: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Features (of those given), their counts and the number of words of the documents of the ids, in order of the id."""
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most SAMPLE_P or SAMPLE_U ids
+def found(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """doc_id, text, y of the sampled documents."""
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most SAMPLE_P + SAMPLE_U ids
+
+
+def selected(docs: DataFrame, sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The FEATURES hashes, ascending, that P's documents hold most clearly more often than U's.  Document frequencies are
+    summed by tasks and a shuffle; only the hashes chosen reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = text_buffers(b.column("text"))
+            y = b.column("y").to_numpy(zero_copy_only=False)
+            for lo, hi in chunks(offsets):
+                doc, h, _, _ = counted(data, offsets[lo : hi + 1])
+                names, at = np.unique(h, return_inverse=True)
+                n, of_p = np.bincount(at, minlength=len(names)), np.bincount(at, weights=y[lo:hi][doc], minlength=len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(of_p), pa.array(n - of_p)], names=["h", "p", "u"])
+
+    df = found(docs, sample).select("text", "y").mapInArrow(run, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    a, b, both = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1), (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
+    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+    # what few confirmed examples hold says nothing
+    best = df.where("p >= 5").where(a > 2 * b).withColumn("z", z).where("z > 5").orderBy(F.desc("z"), "h").limit(FEATURES)
+    return np.sort(np.array([r["h"] for r in best.select("h").collect()], np.int64).view(np.uint64))
+
+
+def gathered(docs: DataFrame, sample: DataFrame, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Label, number of words, places of the features held and their counts, of every sampled document; P first, by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,47 +123,33 @@ def gathered(docs: DataFrame, ids: DataFrame, features: np.ndarray | None) -> tu
             for lo, hi in chunks(offsets):
                 doc, h, count, n_words = counted(data, offsets[lo : hi + 1], features)
                 cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
-                rows += [pack(deltas(h[x:y]), np.minimum(count[x:y], 65535).astype(np.uint16)) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                both = np.stack([np.searchsorted(features, h).astype("<u2"), np.minimum(count, 65535).astype("<u2")], axis=1)
+                rows += [both[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 words_ += n_words.tolist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words_, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "n", "h"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(words_, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "y", "n", "h"])
 
-    rows = sorted((r["doc_id"], r["n"], bytes(r["h"])) for r in some.mapInArrow(run, "doc_id long, n long, h binary").collect())
-    both = [unpack(r[2]) for r in rows]
-    return [undeltas(x[0]) for x in both], [x[1] for x in both], np.array([r[1] for r in rows], dtype=np.int64)
+    some = found(docs, sample).mapInArrow(run, "doc_id long, y int, n long, h binary").collect()  # at most SAMPLE_P + SAMPLE_U rows of FEATURES places
+    rows = sorted((-r["y"], r["doc_id"], r["n"], bytes(r["h"])) for r in some)
+    both = [np.frombuffer(r[3], "<u2").reshape(-1, 2) for r in rows]
+    return np.array([-r[0] for r in rows]), np.array([r[2] for r in rows], np.int64), [x[:, 0] for x in both], [x[:, 1] for x in both]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rounds: int = 400) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic.  Rows with crc32(doc_id as text) mod 3 = 1 are left out."""
     none = Model(np.zeros(0, np.uint64), np.zeros(1), 0.0, 0.0)
     p, u, prior = chosen(docs, labels)
-    sets_p, counts_p, words_p = gathered(docs, p, None)
-    if not sets_p:
-        return none
-    names, df = np.unique(np.concatenate(sets_p), return_counts=True)
-    names = names[df >= 5]  # what few confirmed examples hold says nothing
-    sets_u, counts_u, words_u = gathered(docs, u, names)
-    if not sets_u:
+    sample = stored(p.withColumn("y", F.lit(1)).unionByName(u.withColumn("y", F.lit(0))), "toxicity-sample")
+    docs = docs.select("doc_id", "text")
+    sizes = {r["y"]: r["n"] for r in docs.select("doc_id").join(F.broadcast(sample), "doc_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_p or not n_u:
         return none
-    y = np.repeat([1, 0], [len(sets_p), len(sets_u)])
-    all_sets = [np.flatnonzero(names[np.minimum(np.searchsorted(names, s), max(0, len(names) - 1))] == s) if len(names) else np.zeros(0, np.int64) for s in sets_p]
-    counts = [c[k] for c, k in zip(counts_p, all_sets, strict=True)] + counts_u
-    sets = [s[k] for s, k in zip(sets_p, all_sets, strict=True)] + sets_u
-    size = np.array([len(s) for s in sets])
-    k = np.searchsorted(names, np.concatenate(sets))
-    doc, value = np.repeat(np.arange(len(sets)), size), np.log1p(np.concatenate(counts).astype(np.float64))
-    n_p, n_u = len(sets_p), len(sets_u)
-    in_p, in_u = np.bincount(k[y[doc] == 1], minlength=len(names)), np.bincount(k[y[doc] == 0], minlength=len(names))
-    a, b = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
-    both = (in_p + in_u + 1) / (n_p + n_u + 2)
-    z = (a - b) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    best = np.flatnonzero((z > 5) & (a > 2 * b))
-    best = np.sort(best[np.argsort(-z[best], kind="stable")[:FEATURES]])
-    place = np.full(len(names), -1)
-    place[best] = np.arange(len(best))
-    keep = place[k] >= 0
-    doc, k, value = doc[keep], place[k[keep]], value[keep]
-    length = np.log1p(np.concatenate([words_p, words_u]).astype(np.float64))
-    n = len(sets)
+    best = selected(docs, sample, n_p, n_u)
+    y, n_words, places, counts = gathered(docs, sample, best)
+    doc, k = np.repeat(np.arange(len(y)), [len(x) for x in places]), np.concatenate(places).astype(np.int64)
+    value = np.log1p(np.concatenate(counts).astype(np.float64))
+    length = np.log1p(n_words.astype(np.float64))
+    n = len(y)
     w, c = np.zeros(len(best) + 1), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     share = np.where(y == 1, 1 / n_p, 1 / n_u)
@@ -148,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 400) -> Model:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, c = w - step[:-1], c - step[-1]
-    return Model(names[best], w, float(c), prior)
+    return Model(best, w, float(c), prior)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
