@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, gate, profile, slots, units, usage
+from ..operators import denoise, evidence, gate, profile, segments, slots, units, usage
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,3 +274,25 @@ def labels_join(s, d):
 @query()
 def episode_batch(s, d):
     return usage.episodes(tables.table(s, d, "events"))
+
+
+@query()
+def denoised_documents(s, d):
+    made = denoise.denoised(_docs(s, d))
+    return made.select("doc_id", "input_chars", "output_chars", "rules", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def denoised_pages(s, d):
+    made = denoise.denoised(tables.table(s, d, "pages"), "page_id", "html", "html", 0)
+    return made.select("page_id", "input_chars", "output_chars", "rules", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def text_segments(s, d):
+    return segments.segments(_docs(s, d)).select("doc_id", "idx", "anchor", F.length("text").cast("long").alias("n_chars"), "heading")
+
+
+@query()
+def heading_outline(s, d):
+    return segments.skeleton(segments.segments(_orders(s, d)))
