@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import denoise, evidence, gate, profile, segments, slots, units, usage
+from ..operators import denoise, evidence, gate, items, profile, segments, slots, units, usage
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,3 +296,14 @@ def text_segments(s, d):
 @query()
 def heading_outline(s, d):
     return segments.skeleton(segments.segments(_orders(s, d)))
+
+
+@query()
+def document_items(s, d):
+    return items.items(_docs(s, d))
+
+
+@query("""WITH k AS (SELECT event_id, props, json_keys(props) AS ks FROM events), e AS (SELECT event_id, props, unnest(range(len(ks))) AS i, unnest(ks) AS key FROM k)
+SELECT event_id, CAST(i AS INT) AS idx, '$.' || key AS path, json_extract_string(props, '$.' || key) AS value FROM e""")
+def props_paths(s, d):
+    return items.key_paths(tables.table(s, d, "events"), "event_id", "props")
