@@ -190,7 +190,7 @@ def across(lists: DataFrame, least: int) -> DataFrame:
                                 first_shared = np.full(len(q), np.iinfo(np.int64).max)
                                 np.minimum.at(first_shared, row[hit], flat[hit])
                                 more = shared + np.minimum(small[q], small[r])
-                                rest = np.minimum((least * a[q] + 99) // 100, (least * a[r] + 99) // 100) - 1
+                                rest = np.maximum((least * a[q] + 99) // 100, (least * a[r] + 99) // 100) - 1  # as in can_link
                                 ok = (first_shared == g[lo]) & (more + rest >= needed(a[q], np.full(len(q), a[r]), least))
                                 q, more = q[ok], more[ok]
                             if len(q):
@@ -228,9 +228,12 @@ def across(lists: DataFrame, least: int) -> DataFrame:
 
 
 def can_link(pairs: DataFrame, least: int) -> DataFrame:
-    """Pairs whose common prefix n-grams n and all of the rest would be enough."""
+    """Pairs whose common prefix n-grams n and all of the rest would be enough.
+
+    Of the n-grams they share, those up to the end of the prefix that ends first are in both prefixes, so in n; the others are
+    all in the rest of that set.  Which of the two it is, is not kept: the greater rest holds for either."""
     rest = lambda a: F.col(a) - (F.col(a) - F.ceil(least * F.col(a) / 100 - 1e-9) + 1)
-    return pairs.where(F.col("n") + F.least(rest("size_a"), rest("size_b")) >= needed(F.col("size_a"), F.col("size_b"), least))
+    return pairs.where(F.col("n") + F.greatest(rest("size_a"), rest("size_b")) >= needed(F.col("size_a"), F.col("size_b"), least))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, canon: DataFrame, n: int, least: int) -> DataFrame:

@@ -88,6 +88,23 @@ def test_jaccard_group_of_near_copies(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute_jaccard(rows, 4, 85)}
 
 
+@pytest.mark.parametrize("alone", [False, True])
+def test_jaccard_passages_put_in_and_taken_out(spark, monkeypatch, alone):
+    if alone:  # no pivots, and every list a long one: across() has to find all
+        for name, value in (("PIVOTS", 0), ("TURNS", 1), ("LONG_LIST", 0)):
+            monkeypatch.setattr(jaccard_join, name, value)
+    rows = []
+    for size in (30, 50, 80, 103, 150, 260):
+        for more in (1, 2, 4, 7, 12, 20):
+            for place in (0, size // 3, size):
+                k = len(rows)
+                base = [f"w{k}x{i}" for i in range(size)]
+                rows += [(k, " ".join(base)), (k + 1, " ".join(base[:place] + [f"n{k}x{i}" for i in range(more)] + base[place:])), (k + 2, " ".join(base[: place // 2] + base[place // 2 + more :]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.join(docs, n=4, least=85).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, got.collect())) == brute_jaccard(rows, 4, 85)
+
+
 def test_windows(spark, odd_docs):
     for docs in (documents(spark), odd_docs):
         got = substring_dedup.dedup(docs, size=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
