@@ -1,10 +1,13 @@
 """Quality classifier by an interpolated modified Kneser-Ney bigram model (operator 2).
 
-The model is trained on every trusted text.  Its vocabulary is the VOCABULARY most frequent words there; all other words are
-one unknown word, whose probability is shared by as many words as the trusted texts have beyond the vocabulary, so that
-unknown words are improbable.  Counts of word pairs are kept in shards by the pair's hash, and texts' pairs are sent to the
-shards: there the pairs meet their counts, and each shard returns, for every document, the sum of its pairs'
-log probabilities.  What is held per word (context totals, continuation counts) is bounded by the vocabulary.
+The model is trained on every trusted text, and every word of theirs is in it.  Words are named by 64-bit hashes.  Counts of
+word pairs are kept in shards by the pair's hash, and what is known of a word (its pairs as a context, its different contexts)
+in shards by the word's hash; only a few sums over all words are sent around.  A pair that was not counted has the log
+probability log back(a) + log p1(b), so a document's is a sum over its words, and counted pairs add a number of their own.
+Texts' words and pairs are sent to the shards, and each shard returns the sums of its own for every document.
+
+A word that no trusted text has is the unknown word: it has the probability of a word without contexts, and as a context
+leaves all to p1.
 
 Discounts D1, D2, D3+ come from the counts of counts, for pairs and for continuations.  A document is rejected if its
 perplexity is above its language's limit, taken from quantiles of trusted documents that were not trained on: the limit is
@@ -19,22 +22,29 @@ extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import SENT, at_shards, block_names, frame, sent, shards, text_blocks
+from .exchange import SENT, at_shards, block_names, frame, sent, shards, split_rows, text_blocks
 from .kernel import chunks, deltas, mix, pack, undeltas, unpack, words
 from .shared import free_shuffles, stored
 
-VOCABULARY = 1 << 17
 #: Ids that are broadcast; more trusted documents than that are joined by a shuffle.
 MOST_IDS = 2_000_000
 STRETCH = 2.0
 LEAST_HELD_OUT = 30
 TRAIN, TRIAL = 1, 2
+#: Documents are scored in so many rounds, by runs of 2 ** RUN ids, so that neighbours in a file share a block.
+ROUNDS, RUN = 4, 14
+#: What a shard reads, in this order: counts of pairs, what their words' shards know of the words, its own words, what blocks ask, blocks' documents.
+PAIRS, REPLY, WORDS, ASK, HEAD, ABOUT = range(6)
+#: The word before the first and after the last one.
+EDGE = np.uint64(0x6B6E2D656467653F)
+_CONTEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def marked(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
@@ -57,34 +67,23 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(h) if h else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(np.concatenate(sizes) if sizes else np.zeros(0, np.int64))])
 
 
-class Vocabulary:
-    """Word hashes in ascending order; a word's number is its place, and the unknown word's, start's and end's come after."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        n = len(self.hashes)
-        self.unknown, self.edge, self.size = n, n + 1, n + 2
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.full(len(h), self.unknown, np.int64)
-        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[k] == h, k, self.unknown)
-
-    def pairs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Every pair of neighbouring words (with the edge before the first and after the last) as one number, its document;
-        the documents' numbers of words and of unknown ones."""
-        h, bounds = _words(data, offsets)
-        n = np.diff(bounds)
-        w = self.numbers(h)
-        size = n + (n > 0)
-        first = np.cumsum(size) - size
-        a, b = np.full(int(size.sum()), self.edge), np.full(int(size.sum()), self.edge)
-        doc_of_word = np.repeat(np.arange(len(n)), n)
-        place = first[doc_of_word] + np.arange(len(w)) - bounds[:-1][doc_of_word]
-        b[place] = w
-        a[place + 1] = w
-        return (a * self.size + b).astype(np.uint64), np.repeat(np.arange(len(n)), size), n, np.bincount(doc_of_word[w == self.unknown], minlength=len(n))
+def neighbours(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every pair of neighbouring words (with the edge before the first and after the last) as two hashes, its document; the
+    documents' numbers of words."""
+    h, bounds = _words(data, offsets)
+    n = np.diff(bounds)
+    size = n + (n > 0)
+    first = np.cumsum(size) - size
+    a, b = np.full(int(size.sum()), EDGE), np.full(int(size.sum()), EDGE)
+    doc_of_word = np.repeat(np.arange(len(n)), n)
+    place = first[doc_of_word] + np.arange(len(h)) - bounds[:-1][doc_of_word]
+    b[place] = h
+    a[place + 1] = h
+    return a, b, np.repeat(np.arange(len(n)), size), n
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _CONTEXT + b)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -95,149 +94,178 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 
 class Model:
-    """All of the model but the pairs' counts, which stay in shards: arrays over the vocabulary.
+    """What holds for all words: a few numbers.  All that is kept by word or pair stays in shards.
+
+    A word's stats are, in this order: its pairs as a context; the different ones counted once, twice, oftener; its different
+    contexts.  pairs: how many pairs are counted 1 to 4 times; words: how many words have 1 to 4 contexts, 3 and more, the sum
+    of the contexts, the words."""
+
+    def __init__(self, pairs: np.ndarray, words: np.ndarray):
+        self.d2, self.d1 = discounts(*pairs.tolist()), discounts(*words[:4].tolist())
+        self.contexts = max(1, int(words[5]))
+        freed = float(self.d1[1:] @ words[[0, 1, 4]]) / self.contexts if words[6] else 1.0
+        self.unseen = freed / (int(words[6]) + 1)  # shared by the words seen and the unknown one
 
-    total: a context's pairs; kinds: its different pairs counted once, twice, oftener; before: a word's different contexts."""
+    def back(self, stats: np.ndarray) -> np.ndarray:
+        return self.d2[1:] @ stats[1:4] / stats[0]
 
-    def __init__(self, vocabulary: Vocabulary, total: np.ndarray, kinds: np.ndarray, before: np.ndarray, counts: np.ndarray, unseen: int):
-        self.vocabulary, self.total = vocabulary, total
-        self.d2 = discounts(*counts.tolist())
-        d1 = discounts(*[int((before == k).sum()) for k in (1, 2, 3, 4)])
-        v, all_ = vocabulary.size - 1, max(1, int(before.sum()))  # the edge follows words as well
-        lower = np.maximum(before - d1[np.minimum(before, 3)], 0) / all_
-        self.p1 = lower + max(0.0, 1 - lower.sum()) / v
-        self.p1[vocabulary.unknown] /= max(1, unseen)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            self.back = np.where(total > 0, (kinds @ self.d2[1:]) / total, 1.0)
+    def lower(self, stats: np.ndarray) -> np.ndarray:
+        return (stats[4] - self.d1[np.minimum(stats[4], 3)]) / self.contexts + self.unseen
 
-    def log_p(self, a: np.ndarray, b: np.ndarray, count: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            top = np.where(count > 0, (count - self.d2[np.minimum(count, 3)]) / self.total[a], 0.0)
-        top = np.where(b == self.vocabulary.unknown, top / self.unseen_share, top)
-        return np.log(np.maximum(top + self.back[a] * self.p1[b], 1e-300))
+    def of_words(self, stats: np.ndarray) -> np.ndarray:
+        """What a word adds to log p as a context and after one, as if its pairs were not counted."""
+        return np.log(self.back(stats)) + np.log(self.lower(stats))
 
-    unseen_share = 1.0
+    def of_pairs(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray, w: np.ndarray, stats: np.ndarray) -> np.ndarray:
+        """What counted pairs add to that.  w: ascending hashes of their words."""
+        i, j = np.searchsorted(w, a), np.searchsorted(w, b)
+        top = (counts - self.d2[np.minimum(counts, 3)]) / stats[0][i]
+        return np.log1p(top / (self.back(stats)[i] * self.lower(stats)[j]))
 
 
 def train(rows: DataFrame) -> tuple[Model, DataFrame]:
-    """The model over rows (id, text, role) of role TRAIN, and the stored shards of its pairs' counts."""
+    """The model over rows (id, text, role) of role TRAIN, and its stored shards: what counted pairs and words add to log p."""
     spark = rows.sparkSession
     n = shards(spark)
     taught = rows.where(F.col("role") == TRAIN).select("id", "text")
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets, _ in text_blocks(batches):
-            u, c = np.unique(_words(data, offsets)[0], return_counts=True)
-            yield frame({"h": pa.int64(), "c": pa.int64()}, h=u.view(np.int64), c=c)
-
-    freq = stored(taught.mapInArrow(frequencies, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    top = freq.orderBy(F.desc("c"), "h").limit(VOCABULARY).select("h").toArrow().column("h").to_numpy()
-    voc = Vocabulary(np.asarray(top, dtype=np.int64).view(np.uint64))
-    unseen = max(1, freq.count() - len(voc.hashes) + 1)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, (_, data, offsets, _) in zip(block_names(), text_blocks(batches), strict=False):
-            u, c = np.unique(voc.pairs(data, offsets)[0], return_counts=True)
-            h = mix(u) % np.uint64(n)
-            yield sent([(s, 0, name, v) for s, v in _cut(u, h, n, c.astype(np.uint32))])
+            a, b, _, _ = neighbours(data, offsets)
+            key, at, c = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
+            a, b, shard = a[at], b[at], key % np.uint64(n)
+            order = np.lexsort((b, a, shard))
+            a, b, c = a[order], b[order], c[order].astype(np.uint32)
+            cuts = np.searchsorted(shard[order], np.arange(n + 1, dtype=np.uint64)).tolist()
+            yield sent([(s, PAIRS, name, pack(deltas(a[x:y]), b[x:y], c[x:y])) for s, (x, y) in enumerate(pairwise(cuts)) if y > x])
 
     def add(shard: int, values: Iterator) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        waiting, size = [], 0
-        for _, _, (k, c) in values:
-            waiting.append((undeltas(k), c.astype(np.int64)))
+        held, waiting, size = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+        for _, _, (a, b, c) in values:
+            waiting.append((undeltas(a), b, c.astype(np.int64)))
             size += len(c)
-            if size > max(1 << 20, len(keys)):
-                keys, counts = _merged(keys, counts, waiting)
-                waiting, size = [], 0
-        keys, counts = _merged(keys, counts, waiting)
-        yield sent([(shard, 0, 0, pack_counts(keys, counts))])
+            if size > max(1 << 20, len(held[0])):
+                held, waiting, size = _merged(held, waiting), [], 0
+        a, b, c = _merged(held, waiting)
+        yield sent([(shard, PAIRS, 0, pack(deltas(a), b, c)), (shard, ABOUT, 0, pack(np.array([(c == k).sum() for k in (1, 2, 3, 4)])))])
 
-    table = stored(at_shards(taught.mapInArrow(count, SENT), add, SENT), "pairs")
+    pairs = stored(at_shards(taught.mapInArrow(count, SENT), add, SENT), "pairs")
     free_shuffles(spark)
 
-    def about(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, kinds, before, counts = np.zeros(voc.size, np.int64), np.zeros((3, voc.size), np.int64), np.zeros(voc.size, np.int64), np.zeros(4, np.int64)
-        for b in batches:
-            for body in b.column("body").to_pylist():
-                k, c = unpack(body)
-                k, c = undeltas(k), c.astype(np.int64)
-                a, w = (k // np.uint64(voc.size)).astype(np.int64), (k % np.uint64(voc.size)).astype(np.int64)
-                total += np.bincount(a, weights=c, minlength=voc.size).astype(np.int64)
-                for j in range(3):
-                    kinds[j] += np.bincount(a[c == j + 1 if j < 2 else c > 2], minlength=voc.size)
-                before += np.bincount(w, minlength=voc.size)
-                counts += np.array([(c == j).sum() for j in (1, 2, 3, 4)])
-        at = np.flatnonzero(total + before)
-        yield frame({"w": pa.int64(), **{x: pa.int64() for x in "tabcp"}}, w=np.append(at, np.arange(-4, 0)), t=np.append(total[at], counts), **{x: np.append(kinds[j][at], np.zeros(4, np.int64)) for j, x in enumerate("abc")}, p=np.append(before[at], np.zeros(4, np.int64)))
-
-    sums = table.mapInArrow(about, "w long, t long, a long, b long, c long, p long").groupBy("w").agg(*[F.sum(x).alias(x) for x in "tabcp"]).toPandas()  # a row a word of the vocabulary at most
-    dense = np.zeros((5, voc.size), np.int64)
-    real = sums[sums.w >= 0]
-    dense[:, real.w.to_numpy()] = real[list("tabcp")].to_numpy().T
-    counts = sums[sums.w < 0].sort_values("w").t.to_numpy() if len(sums) else np.zeros(4, np.int64)
-    if len(counts) < 4:
-        counts = np.zeros(4, np.int64)
-    model = Model(voc, dense[0], dense[1:4].T, dense[4], counts, unseen)
-    model.unseen_share = float(unseen)
-    return model, table
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, body in zip(batch.column("shard").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                a, b, c = unpack(body)
+                a = undeltas(a)
+                start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                after, before = np.unique(b, return_counts=True)
+                w = np.union1d(a[start], after)
+                stats = np.zeros((5, len(w)), np.int64)
+                stats[:4, np.searchsorted(w, a[start])] = [np.add.reduceat(x.astype(np.int64), start) for x in (c, c == 1, c == 2, c > 2)]
+                stats[4, np.searchsorted(w, after)] = before
+                yield sent(split_rows(0, shard, w, n, *stats, first=deltas))
+
+    def reply(shard: int, values: Iterator) -> Iterator[pa.RecordBatch]:
+        asked = [(pair_shard, undeltas(x[0]), np.stack(x[1:])) for _, pair_shard, x in values]
+        w, back = np.unique(np.concatenate([x for _, x, _ in asked]), return_inverse=True)
+        parts = np.concatenate([x for _, _, x in asked], axis=1)
+        stats = np.stack([np.bincount(back, weights=x, minlength=len(w)).astype(np.int64) for x in parts])
+        before = stats[4]
+        about = np.array([*[(before == k).sum() for k in (1, 2, 3, 4)], (before > 2).sum(), before.sum(), len(w)])
+        yield sent([(shard, WORDS, 0, pack(deltas(w), *stats)), (shard, ABOUT, 0, pack(about))])
+        for pair_shard, x, _ in asked:
+            yield sent([(pair_shard, REPLY, shard, pack(deltas(x), *stats[:, np.searchsorted(w, x)]))])
+
+    words_ = stored(at_shards(pairs.where(F.col("kind") == PAIRS).mapInArrow(tell, SENT), reply, SENT), "words")
+    free_shuffles(spark)
+
+    def told(df: DataFrame, size: int) -> np.ndarray:  # a short array a shard
+        return sum((unpack(r["body"])[0] for r in df.where(F.col("kind") == ABOUT).select("body").collect()), np.zeros(size, np.int64))
 
+    model = Model(told(pairs, 4), told(words_, 7))
 
-def _cut(keys: np.ndarray, shard: np.ndarray, n: int, *columns: np.ndarray) -> list[tuple[int, bytes]]:
-    order = np.argsort(shard, kind="stable")  # keys stay ascending within a shard
-    cuts = np.searchsorted(shard[order], np.arange(n + 1, dtype=np.uint64))
-    return [(s, pack(deltas(keys[order[a:b]]), *[c[order[a:b]] for c in columns])) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+    def value(shard: int, values: Iterator) -> Iterator[pa.RecordBatch]:
+        counted, replies = None, []
+        for kind, _, arrays in values:
+            if kind == PAIRS:
+                counted = undeltas(arrays[0]), arrays[1], arrays[2]
+            elif kind == REPLY:
+                replies.append((undeltas(arrays[0]), np.stack(arrays[1:])))
+            else:
+                yield sent([(shard, WORDS, 0, pack(arrays[0], model.of_words(np.stack(arrays[1:])).astype(np.float32)))])
+        if counted is not None:
+            w, stats = np.concatenate([x for x, _ in replies]), np.concatenate([x for _, x in replies], axis=1)
+            by_word, key = np.argsort(w), pair_keys(*counted[:2])
+            by_key = np.argsort(key)
+            yield sent([(shard, PAIRS, 0, pack(deltas(key[by_key]), model.of_pairs(*counted, w[by_word], stats[:, by_word])[by_key].astype(np.float32)))])
+
+    table = stored(at_shards(pairs.unionByName(words_).where(F.col("kind") != ABOUT), value, SENT), "values")
+    free_shuffles(spark)
+    return model, table
 
 
-def _merged(keys: np.ndarray, counts: np.ndarray, more: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _merged(held: tuple[np.ndarray, ...], more: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     if not more:
-        return keys, counts
-    k, back = np.unique(np.concatenate([keys, *[x[0] for x in more]]), return_inverse=True)
-    return k, np.bincount(back, weights=np.concatenate([counts, *[x[1] for x in more]]), minlength=len(k)).astype(np.int64)
+        return held
+    a, b, c = [np.concatenate(x) for x in zip(held, *more, strict=True)]
+    order = np.lexsort((b, a))
+    a, b, c = a[order], b[order], c[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    return a[at], b[at], np.add.reduceat(c, at)
 
 
-def pack_counts(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    return pack(deltas(keys), counts)
+NO_ID = -(1 << 63)
 
 
-NO_ID = -(1 << 63)
+def _asked(key: np.ndarray, doc: np.ndarray, n: int, wide: type) -> list[tuple[np.ndarray, ...]]:
+    """By shard: ascending keys (divided by n, as the shard is the remainder), how many documents have each, these documents, and how often.  doc: ascending."""
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(key))).astype(np.uint32)
+    key, doc = key[new], doc[new].astype(wide)
+    order = np.argsort((key % np.uint64(n)).astype(np.uint16 if n <= 65536 else np.uint32), kind="stable")  # keys stay ascending within a shard
+    key, doc, times = key[order], doc[order], times[order]
+    cuts = np.searchsorted(key % np.uint64(n), np.arange(n + 1, dtype=np.uint64)).tolist()
+    out = []
+    for x, y in pairwise(cuts):
+        u, uses = np.unique(key[x:y], return_counts=True)
+        out.append((deltas(u // np.uint64(n)), uses.astype(np.uint32), doc[x:y], times[x:y]))
+    return out
 
 
 def scores(rows: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     """id, lang (a hash), role, n_words, log_p of every row of rows (id, text, lang, role)."""
     spark = rows.sparkSession
-    n, voc = shards(spark), model.vocabulary
+    n = shards(spark)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, (ids, data, offsets, (lang, role)) in zip(block_names(), text_blocks(batches, ("lang", "role")), strict=False):
-            key, doc, n_words, _ = voc.pairs(data, offsets)
-            out = [(name % n, 2, name, pack(ids, lang, role, n_words))]
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            u, uses = key[first], np.diff(np.append(first, len(key)))
-            shard = (mix(u) % np.uint64(n)).astype(np.int64)
-            by = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[by], np.arange(n + 1))
+            a, b, doc, n_words = neighbours(data, offsets)
             wide = np.uint16 if len(ids) <= 65536 else np.uint32
-            for s in range(n):
-                mine = by[cuts[s] : cuts[s + 1]]
-                if len(mine):
-                    at = np.repeat(first[mine] - (np.cumsum(uses[mine]) - uses[mine]), uses[mine]) + np.arange(int(uses[mine].sum()))
-                    out.append((s, 1, name, pack(deltas(u[mine]), uses[mine].astype(np.uint32), doc[at].astype(wide), np.array([len(ids)]))))
-            yield sent(out)
+            pairs, words_ = _asked(pair_keys(a, b), doc, n, wide), _asked(b, doc, n, wide)  # a document's contexts are the words that follow
+            out = [(s, ASK, name, pack(*p, *w, np.array([len(ids)]))) for s, (p, w) in enumerate(zip(pairs, words_, strict=True)) if len(p[0]) or len(w[0])]
+            yield sent([*out, (name % n, HEAD, name, pack(ids, lang, role, n_words))])
 
     def answer(shard: int, values: Iterator) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        pairs = words_ = (np.zeros(0, np.uint64), np.zeros(0))
+
+        def sums(known: tuple[np.ndarray, np.ndarray], other: float, u: np.ndarray, uses: np.ndarray, doc: np.ndarray, times: np.ndarray, size: int) -> np.ndarray:
+            keys, value = known
+            u = undeltas(u) * np.uint64(n) + np.uint64(shard)
+            k = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
+            p = np.where(keys[k] == u, value[k], other) if len(keys) else np.full(len(u), other)
+            return np.bincount(doc, weights=np.repeat(p, uses) * times, minlength=size)
+
         for kind, block, arrays in values:
-            if kind == 0:
-                keys, counts = undeltas(arrays[0]), arrays[1].astype(np.int64)
-            elif kind == 1:
-                u, uses, doc, size = undeltas(arrays[0]), arrays[1], arrays[2], int(arrays[3][0])
-                k = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
-                c = np.where(keys[k] == u, counts[k], 0) if len(keys) else np.zeros(len(u), np.int64)
-                p = model.log_p((u // np.uint64(voc.size)).astype(np.int64), (u % np.uint64(voc.size)).astype(np.int64), c)
-                yield sent([(block, 1, shard, pack(np.bincount(doc, weights=np.repeat(p, uses), minlength=size).astype(np.float32)))])
+            if kind == PAIRS:
+                pairs = undeltas(arrays[0]), arrays[1].astype(np.float64)
+            elif kind == WORDS:
+                words_ = undeltas(arrays[0]), arrays[1].astype(np.float64)
+            elif kind == ASK:
+                size = int(arrays[8][0])
+                out = sums(pairs, 0.0, *arrays[:4], size) + sums(words_, float(np.log(model.unseen)), *arrays[4:8], size)
+                yield sent([(block, 1, shard, pack(out.astype(np.float32)))])
             else:
                 yield sent([(block, 0, 0, pack(*arrays))])
 
@@ -259,8 +287,11 @@ def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_c
     """id, lang, n_words, log_p, perplexity, threshold, kept of every row of docs.  trusted: a table of ids."""
     rows = marked(docs, trusted, id_col, text_col, lang_col)
     model, table = train(rows)
-    found = stored(scores(rows, model, table), "scores")
-    free_shuffles(docs.sparkSession)
+    found = None
+    for k in range(ROUNDS):  # texts' pairs are more bytes than the texts: a part of the documents is asked for at a time
+        part = stored(scores(rows.where(F.pmod(F.shiftright("id", RUN), F.lit(ROUNDS)) == k), model, table), "scores")
+        found = part if found is None else found.unionByName(part)
+        free_shuffles(docs.sparkSession)
     log_ppl = -F.col("log_p") / (F.col("n_words") + 1)
     found = found.withColumn("x", F.when(F.col("n_words") > 0, log_ppl))
     trial = found.where((F.col("role") == TRIAL) & F.col("x").isNotNull())

@@ -183,6 +183,46 @@ def test_quality_separates_labels(spark, odd_docs):
     assert {r.doc_id for r in none.collect() if not r.kept and r.doc_id is not None} == {r.doc_id for r in odd_docs.collect() if r.doc_id is not None and not SPLIT.search(r.text or "")}
 
 
+def brute_kneser_ney(taught, texts):
+    """Log probabilities by a plain bigram model with every word of the taught texts."""
+    pairs_of = lambda t: list(zip([None, *(w := SPLIT.findall(t or ""))], [*w, None], strict=True)) if SPLIT.search(t or "") else []
+    count = Counter(p for t in taught for p in pairs_of(t))
+    total, kinds, before = Counter(), defaultdict(lambda: [0, 0, 0, 0]), Counter()
+    for (a, b), c in count.items():
+        total[a] += c
+        kinds[a][min(c, 3)] += 1
+        before[b] += 1
+    number = lambda counts: [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
+    d2, d1 = kneser_ney.discounts(*number(count)), kneser_ney.discounts(*number(before))
+    unseen = sum(d1[min(c, 3)] for c in before.values()) / len(count) / (len(before) + 1)
+    lower = lambda b: max(before[b] - d1[min(before[b], 3)], 0) / len(count) + unseen
+    assert sum(lower(b) for b in before) + lower("not there") == pytest.approx(1)
+
+    def p(a, b):
+        if a not in total:
+            return lower(b)
+        c = count.get((a, b), 0)
+        return (c - d2[min(c, 3)]) / total[a] + sum(d2[k] * kinds[a][k] for k in (1, 2, 3)) / total[a] * lower(b)
+
+    return [sum(math.log(p(a, b)) for a, b in pairs_of(t)) for t in texts]
+
+
+def test_quality_has_every_trusted_word(spark):
+    """200,000 different words in trusted texts, in a small language only the rarest, against a plain model."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{k}" for k in [*range(5000 * i, 5000 * i + 5000), *rng.integers(0, 200, 300), *range(5000 * i, 5000 * i + 60 * i)]), "en") for i in range(40)]
+    rows += [(100 + i, " ".join(f"r{k}" for k in rng.integers(0, 400, 50)), "xx") for i in range(20)]
+    rows += [(200, "w199999 w199998 nowhere w7 w8 w9", "en"), (201, "no word of it", None), (202, "r1 r2 r3", "xx"), (203, None, "en"), (204, " ", "xx"), (205, "w3", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 200").select("doc_id")
+    taught = {r.id for r in kneser_ney.marked(docs, trusted, "doc_id", "text", "lang").where("role = 1").collect()}
+    got = {r.doc_id: r.log_p for r in kneser_ney.judge(docs, trusted).collect()}
+    want = brute_kneser_ney([t for i, t, _ in rows if i in taught], [t for _, t, _ in rows])
+    for (i, _, _), x in zip(rows, want, strict=True):
+        assert got[i] == pytest.approx(x, rel=1e-5, abs=1e-5)
+    assert len({w for i, t, _ in rows if i in taught for w in t.split()}) > 1 << 17, "so few that a cut would not show"
+
+
 def test_empty_tables(spark, odd_docs):
     none = odd_docs.where("false")
     assert jaccard_join.join(none).count() == 0
