@@ -41,8 +41,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every row."""
-    ids = byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    """doc_id, n_tokens and ids of every row; the ids are decoded again, and a row whose text they do not give back ends the job."""
+    ids = byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, held=True)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

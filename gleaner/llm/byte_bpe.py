@@ -166,16 +166,30 @@ def _blocks(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
         yield block
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def compared(c: Coder, names: np.ndarray, texts: list[str], ids: list[np.ndarray], most: int = 200_000) -> None:
+    """Ends with an error unless the ids of every text decode to it.  most: ids decoded at once (a longer text's are at once)."""
+    ends = np.cumsum([len(x) for x in ids])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        for name, text, back in zip(names[at:to], texts[at:to], c.expand(ids[at:to]), strict=True):
+            if back != text.encode():
+                raise ValueError(f"the ids of document {name} do not decode to its text")
+        at = to
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, held: bool = False) -> DataFrame:
     """One row per row of docs: the id and ids array<int>; with digest, n_tokens, ids_sha256 and decoded_sha256
-    (of the ids' decoded bytes) instead of ids.  `ranks` is the place of the rank file on every machine."""
+    (of the ids' decoded bytes) instead of ids.  `ranks` is the place of the rank file on every machine.
+    held: every row's ids are decoded and held against its text, and a difference ends the job."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = coder(ranks, pattern)
         split, known = c.pattern.findall, c.known
         for df in batches:
-            rows = []
+            at = 0
             for block in _blocks([x if isinstance(x, str) else "" for x in df["text"]]):
+                rows = []
                 pieces = [split(t) for t in block]
                 c.learn(set().union(*pieces))
                 for p in pieces:
@@ -184,10 +198,14 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
                     if digest:
                         rows.append((sum([g[1] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()))
                     else:
-                        rows.append(([int(x) for x in ids.split(",")] if ids else [],))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids"])
-            out.insert(0, "id", df["id"].to_numpy())
-            yield out
+                        rows.append((np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32),))
+                names = df["id"].to_numpy()[at : at + len(block)]
+                if held and not digest:
+                    compared(c, names, block, [r[0] for r in rows])
+                out = pd.DataFrame({"ids": [r[0] for r in rows]}) if not digest else pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                out.insert(0, "id", names)
+                yield out
+                at += len(block)
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "id long, ids array<int>"

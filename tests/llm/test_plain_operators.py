@@ -160,3 +160,13 @@ def test_empty_tables(spark, odd_docs, tmp_path):
     assert byte_bpe.encode(none, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digest=True).count() == 0
     token_store.write(none, str(tmp_path / "e"), P.path("word_bpe_49k.json"))
     assert token_store.digests(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_pipeline_ids_are_held_against_the_text(spark, odd_docs, monkeypatch):
+    import corpus_pipeline
+
+    whole = corpus_pipeline.token_ids(spark, odd_docs, "").collect()
+    assert len(whole) == odd_docs.count() and all(len(r.ids) == r.n_tokens for r in whole)
+    monkeypatch.setattr(P, "PATTERN", "[a-z]+")  # finds no spaces, so the ids lack them
+    with pytest.raises(Exception, match="do not decode to its text"):
+        corpus_pipeline.token_ids(spark, odd_docs, "").collect()
