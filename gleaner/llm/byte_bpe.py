@@ -3,44 +3,53 @@
 Each task splits its texts by the tokenizer's pattern and hands the words it has not met yet to an in-process
 DuckDB.  There a word is a set of rows (word, byte position, token); a recursive query joins neighbouring rows
 with the merge table, contracts each word's leftmost pair of least rank and repeats until no pair is left.
-An ordered aggregation gives the ids, and a second one, over ids joined with the vocabulary, decodes them.
+Equal pairs of one word that do not overlap are contracted in one round where that cannot change the result: where no
+merge with the new token has a lower rank than the token itself.  A word of any length takes this way; the recursion is cut
+after as many rounds as its rows may fill, and goes on from where it was.  An ordered aggregation over each document's ids,
+joined with the vocabulary, decodes them, and a document whose ids do not give back its words ends the job.
+
+Met words are kept as 64-bit hashes and places in one pool of ids.  Two words of one hash would be told by the decoding.
 
 Defined cases: a null text is an empty one (no ids, no bytes); a row with a null id is kept; repeated rows give
-one result row each; extra columns are not read, so their names cannot clash.  Words of more than LONG bytes
-are contracted by a heap with the same order of merges, since one contraction a round over them would be
-quadratic.
+one result row each; extra columns are not read, so their names cannot clash; a very long text is a block of its own; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-LONG = 96
-WORDS_AT_ONCE = 40_000
-CACHE_WORDS = 400_000
+from .kernel import places, span_hashes
+
+#: Words contracted at once, rows that a recursion may hold, words kept, characters of texts in a block, ids decoded at once.
+WORDS_AT_ONCE, MOST_ROWS, CACHE_WORDS, BLOCK_CHARS, IDS_AT_ONCE = 20_000, 4_000_000, 1_500_000, 1_500_000, 400_000
 
+#: chain: places of equal pairs that overlap; every second one of such a run is taken, from the left.
 ENCODE = """
 WITH RECURSIVE t(w, p, e, tok, it) AS (
-  SELECT w, w * 65536 + p, w * 65536 + p + 1, tok, 0 FROM start_rows
+  SELECT w, p, e, tok, 0 FROM start_rows
   UNION ALL (
     WITH pairs AS MATERIALIZED (
-      SELECT a.w, a.p, n.p AS np, n.e AS ne, m FROM t a JOIN t n ON n.p = a.e JOIN merges ON k = a.tok * 65536 + n.tok),
-    best AS (
-      SELECT w, arg_min(struct_pack(p := p, np := np, ne := ne, m := m), m * 65536 + (p & 65535)) AS b FROM pairs GROUP BY w)
-    SELECT t.w, t.p, CASE WHEN t.p = b.p THEN b.ne ELSE e END, CASE WHEN t.p = b.p THEN b.m ELSE tok END, it + 1
-    FROM t JOIN best ON t.w = best.w WHERE t.p <> b.np))
-SELECT w, list(tok ORDER BY p) AS ids FROM t SEMI JOIN (SELECT w, max(it) AS it FROM t GROUP BY w) USING (w, it) GROUP BY w"""
-DECODE = "SELECT w, string_agg(hex, '' ORDER BY p) AS hex FROM id_rows JOIN vocabulary ON tok = id GROUP BY w"
+      SELECT a.w, a.p, n.p AS np, n.e AS ne, m, alone FROM t a JOIN t n ON n.p = a.e AND n.w = a.w JOIN merges ON k = a.tok * 65536 + n.tok),
+    best AS (SELECT w, min(m) AS m FROM pairs GROUP BY w),
+    hits AS (SELECT w, p, np, ne, m, alone, lag(np) OVER (PARTITION BY w ORDER BY p) AS before, row_number() OVER (PARTITION BY w ORDER BY p) AS r
+             FROM pairs SEMI JOIN best USING (w, m)),
+    chained AS (SELECT *, max(CASE WHEN before IS NULL OR before <> p THEN r END) OVER (PARTITION BY w ORDER BY r) AS head FROM hits),
+    done AS MATERIALIZED (SELECT w, p, np, ne, m FROM chained WHERE CASE WHEN alone THEN r = 1 ELSE (r - head) % 2 = 0 END)
+    SELECT t.w, t.p, coalesce(done.ne, t.e), coalesce(done.m, t.tok), it + 1
+    FROM t SEMI JOIN best USING (w) LEFT JOIN done ON t.p = done.p WHERE t.p NOT IN (SELECT np FROM done) AND it < $most))
+SELECT w, tok, it FROM t SEMI JOIN (SELECT w, max(it) AS it FROM t GROUP BY w) USING (w, it) ORDER BY p"""
+DECODE = "SELECT d, array_to_string(list(piece ORDER BY p), '') AS piece FROM id_rows JOIN vocabulary ON tok = id GROUP BY d"
 
 
 class Coder:
@@ -52,98 +61,123 @@ class Coder:
         if max(self.ranks.values(), default=0) >= 65536:
             raise ValueError("ranks must be below 65536")
         self.pattern = regex.compile(pattern)
-        self.bytes_of = {r: t for t, r in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
-        keys, merged = [], []
+        keys, merged, early = [], [], set()
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
                 a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if a is not None and b is not None:
                     keys.append(a * 65536 + b)
                     merged.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB"})
-        self.db.register("merge_rows", pa.table({"k": pa.array(keys, pa.int64()), "m": pa.array(merged, pa.int64())}))
+                    early.update(x for x in (a, b) if x > r)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db.register("merge_rows", pa.table({"k": pa.array(keys, pa.int64()), "m": pa.array(merged, pa.int64()), "alone": [r in early for r in merged]}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
-        self.db.register("token_rows", pa.table({"id": pa.array(list(self.bytes_of), pa.int64()), "hex": [t.hex() for t in self.bytes_of.values()]}))
+        ids = sorted(self.ranks.values())
+        of = {r: t for t, r in self.ranks.items()}
+        # a byte of a token is the character of that number
+        self.db.register("token_rows", pa.table({"id": pa.array(ids, pa.int32()), "piece": [of[r].decode("latin-1") for r in ids]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM token_rows")
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word."""
-        out: list[list[int]] = [[] for _ in words]
-        some = []
-        for i, x in enumerate(words):
-            if (whole := self.ranks.get(x)) is not None:
-                out[i] = [whole]
-            elif len(x) > LONG:
-                out[i] = self.contract_long(x)
-            elif x:
-                some.append(i)
-        for at in range(0, len(some), WORDS_AT_ONCE):
-            part = some[at : at + WORDS_AT_ONCE]
-            data = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
-            size = np.array([len(words[i]) for i in part])
-            first = np.concatenate([[0], np.cumsum(size)[:-1]])
-            w = np.repeat(np.arange(len(part)), size)
-            self.db.register("start_rows", pa.table({"w": w, "p": np.arange(len(data)) - first[w], "tok": self.single[data]}))
-            got = self.db.execute(ENCODE).fetchnumpy()
-            for k, ids in zip(got["w"].tolist(), got["ids"], strict=True):
-                out[part[k]] = [int(x) for x in ids]
-        return out
-
-    def contract_long(self, word: bytes) -> list[int]:
-        n = len(word)
-        end, back, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap: list[tuple[int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = end[i]
-            if j < n and (r := self.ranks.get(word[i : end[j]])) is not None:
-                heapq.heappush(heap, (r, i, end[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, e = heapq.heappop(heap)
-            if not alive[i] or end[i] >= n or end[end[i]] != e:
-                continue
-            j = end[i]
-            alive[j] = False
-            end[i] = e
-            if e < n:
-                back[e] = i
-            offer(i)
-            if back[i] >= 0:
-                offer(back[i])
-        return [self.ranks[word[i : end[i]]] for i in range(n) if alive[i]]
-
-    def expand(self, rows: list[list[int]]) -> list[bytes]:
-        """Bytes of each row of ids."""
-        size = np.array([len(x) for x in rows], dtype=np.int64)
-        if not size.sum():
-            return [b""] * len(rows)
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        w = np.repeat(np.arange(len(rows)), size)
-        ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in rows])
-        if len(bad := np.setdiff1d(ids, np.fromiter(self.bytes_of, np.int64))):
+        self.ids, self.decimals = np.array(ids), pa.array([str(r) for r in range(max(ids) + 1)])
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool = np.zeros(0, np.uint16)
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and how many each has."""
+        whole = [self.ranks.get(x) for x in words]
+        left = [i for i, r in enumerate(whole) if r is None and words[i]]
+        size = np.array([0 if r is None else 1 for r in whole], np.int64)
+        parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for at in range(0, len(left), WORDS_AT_ONCE):
+            some = np.array(left[at : at + WORDS_AT_ONCE])
+            data = np.frombuffer(b"".join(words[i] for i in some), np.uint8)
+            n = np.array([len(words[i]) for i in some])
+            w, tok = self._contracted(np.repeat(some, n), self.single[data])
+            count = np.bincount(np.searchsorted(some, w), minlength=len(some))
+            parts[at] = some, count, tok
+            size[some] = count
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.uint16)
+        alone = [i for i, r in enumerate(whole) if r is not None]
+        out[first[alone]] = [whole[i] for i in alone]
+        for some, count, tok in parts.values():
+            out[places(first[some], count)] = tok
+        return out, size
+
+    def _contracted(self, w: np.ndarray, tok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (word, token), in order, after the last contraction; w: ascending."""
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(w):
+            p = np.arange(len(w))
+            self.db.register("start_rows", pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "e": pa.array(p + 1, pa.int32()), "tok": pa.array(tok, pa.int64())}))
+            most = max(1, MOST_ROWS // len(w))
+            got = self.db.execute(ENCODE, {"most": most}).fetchnumpy()
+            on = got["it"] == most
+            done.append((got["w"][~on], got["tok"][~on]))
+            w, tok = got["w"][on], got["tok"][on]
+        words, tokens = [np.concatenate(x) for x in zip(*done, strict=True)]
+        order = np.argsort(words, kind="stable")
+        return words[order], tokens[order]
+
+    def learn(self, names: np.ndarray, words: list[bytes]) -> None:
+        if len(self.keys) > CACHE_WORDS:
+            self.clear()
+        ids, size = self.contract(words)
+        at = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, ids])
+        keys = np.concatenate([self.keys, names])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size.astype(np.int32)])[order]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+        """The ids of all texts and where each one's start; the bytes of their words and where each text's start."""
+        split = self.pattern.findall
+        pieces = [split(t) for t in texts]
+        count = np.array([len(p) for p in pieces], np.int64)
+        flat = list(chain.from_iterable(pieces))
+        del pieces
+        chars = np.fromiter(map(len, flat), np.int64, len(flat))
+        raw = "".join(flat).encode()
+        data = np.frombuffer(raw, np.uint8)
+        ends = np.cumsum(chars)
+        del flat
+        if len(data) != (ends[-1] if len(ends) else 0):  # not ASCII: from characters to bytes
+            ends = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[ends]
+        begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        h = span_hashes(data, begins, ends)
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        while True:
+            k = np.minimum(np.searchsorted(self.keys, u), max(0, len(self.keys) - 1))
+            miss = self.keys[k] != u if len(self.keys) else np.ones(len(u), bool)
+            if not miss.any():
+                break
+            full = len(self.keys) > CACHE_WORDS  # then all are learnt anew
+            who = first if full else first[miss]
+            self.learn(u if full else u[miss], [raw[a:b] for a, b in zip(begins[who].tolist(), ends[who].tolist(), strict=True)])
+        size = self.size[k][back].astype(np.int64)
+        ids = self.pool[places(self.at[k][back], size)]
+        starts = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(count)])]
+        return ids, starts, raw, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(count)])]
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """The bytes of each stretch of ids."""
+        if len(bad := np.setdiff1d(ids, self.ids)):
             raise ValueError(f"no token has the id {bad[0]}")
-        self.db.register("id_rows", pa.table({"w": w, "p": np.arange(len(ids)) - first[w], "tok": ids}))
-        got = self.db.execute(DECODE).fetchnumpy()
-        out = [b""] * len(rows)
-        for k, h in zip(got["w"].tolist(), got["hex"], strict=True):
-            out[k] = bytes.fromhex(h)
+        out, at = [b""] * (len(starts) - 1), 0
+        while at < len(out):
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + IDS_AT_ONCE, side="right")) - 1)
+            n = np.diff(starts[at : to + 1])
+            part = ids[starts[at] : starts[to]]
+            self.db.register("id_rows", pa.table({"d": pa.array(np.repeat(np.arange(at, to), n), pa.int32()), "p": pa.array(np.arange(len(part)), pa.int32()), "tok": pa.array(part, pa.int32())}))
+            got = self.db.execute(DECODE).fetchnumpy()
+            for d, piece in zip(got["d"].tolist(), got["piece"], strict=True):
+                out[d] = piece.encode("latin-1")
+            at = to
         return out
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            part = new[at : at + WORDS_AT_ONCE]
-            ids = self.contract([w.encode() for w in part])
-            for w, x, b in zip(part, ids, self.expand(ids), strict=True):
-                self.known[w] = (",".join(map(str, x)), len(x), b)
-
 
 _coders: dict[tuple[str, str], Coder] = {}
 
@@ -154,71 +188,59 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def _blocks(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
-    block, size = [], 0
-    for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= chars:
-            yield block
-            block, size = [], 0
+def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Where each block of texts starts, and the texts (null: empty)."""
+    block, size, at = [], 0, 0
+    for i in range(len(column)):
+        block.append(column[i].as_py() or "")
+        size += len(block[-1])
+        if size >= BLOCK_CHARS:
+            yield at, block
+            block, size, at = [], 0, i + 1
     if block:
-        yield block
+        yield at, block
 
 
-def compared(c: Coder, names: np.ndarray, texts: list[str], ids: list[np.ndarray], most: int = 200_000) -> None:
-    """Ends with an error unless the ids of every text decode to it.  most: ids decoded at once (a longer text's are at once)."""
-    ends = np.cumsum([len(x) for x in ids])
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        for name, text, back in zip(names[at:to], texts[at:to], c.expand(ids[at:to]), strict=True):
-            if back != text.encode():
-                raise ValueError(f"the ids of document {name} do not decode to its text")
-        at = to
+DIGEST = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, held: bool = False) -> DataFrame:
     """One row per row of docs: the id and ids array<int>; with digest, n_tokens, ids_sha256 and decoded_sha256
     (of the ids' decoded bytes) instead of ids.  `ranks` is the place of the rank file on every machine.
-    held: every row's ids are decoded and held against its text, and a difference ends the job."""
+    Every row's ids are decoded and held against its words, with held also against its text; a difference ends the job."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks, pattern)
-        split, known = c.pattern.findall, c.known
-        for df in batches:
-            at = 0
-            for block in _blocks([x if isinstance(x, str) else "" for x in df["text"]]):
-                rows = []
-                pieces = [split(t) for t in block]
-                c.learn(set().union(*pieces))
-                for p in pieces:
-                    got = [known[x] for x in p]
-                    ids = ",".join([g[0] for g in got])
-                    if digest:
-                        rows.append((sum([g[1] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([g[2] for g in got])).hexdigest()))
-                    else:
-                        rows.append((np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32),))
-                names = df["id"].to_numpy()[at : at + len(block)]
-                if held and not digest:
-                    compared(c, names, block, [r[0] for r in rows])
-                out = pd.DataFrame({"ids": [r[0] for r in rows]}) if not digest else pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-                out.insert(0, "id", names)
-                yield out
-                at += len(block)
+        for batch in batches:
+            for at, texts in _blocks(batch.column("text")):
+                names = batch.column("id").slice(at, len(texts))
+                ids, starts, raw, cuts = c.encode(texts)
+                back = c.decode(ids, starts)
+                for i, x in enumerate(back):
+                    if x != raw[cuts[i] : cuts[i + 1]] or held and x != texts[i].encode():
+                        raise ValueError(f"the ids of document {names[i]} do not decode to its text")
+                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+                if digest:
+                    joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, c.decimals.take(lists.values)), ",")
+                    sums = [hashlib.sha256(joined[i].as_buffer() or b"").hexdigest() for i in range(len(texts))]
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(starts)), pa.array(sums), pa.array([hashlib.sha256(x).hexdigest() for x in back])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                else:
+                    yield pa.RecordBatch.from_arrays([names, lists], names=["id", "ids"])
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "id long, ids array<int>"
-    return src.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, DIGEST if digest else "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """The id and the decoded bytes of every row of ids (null ids: no bytes)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(ranks, pattern)
-        for df in batches:
-            yield pd.DataFrame({"id": df["id"], "bytes": c.expand([[] if x is None else list(x) for x in df["ids"]])})
+        for b in batches:
+            lists = b.column("ids")
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(c.decode(lists.flatten().to_numpy(zero_copy_only=False), starts), pa.binary())], names=["id", "bytes"])
 
     src = encoded.select(encoded[id_col].cast("long").alias("id"), encoded[ids_col].cast("array<int>").alias("ids"))
-    return src.mapInPandas(run, "id long, bytes binary").withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, "id long, bytes binary").withColumnRenamed("id", id_col)

@@ -121,6 +121,20 @@ def stems(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> tupl
     return np.concatenate(hashes), np.concatenate(docs), n_words
 
 
+def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of bytes from starts to before ends."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(b) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[b] * power[: len(b)], dtype=np.uint64)])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+
+def places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of consecutive stretches."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def ngrams(h: np.ndarray, bounds: np.ndarray, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-word windows and where each document's windows start.
 

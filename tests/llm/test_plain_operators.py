@@ -42,8 +42,23 @@ def test_long_words_contract_alike(text):
 
     c = byte_bpe.coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
-    for w in c.pattern.findall(text):
-        assert c.contract_long(w.encode()) == c.contract([w.encode()])[0] == t.encode_ordinary(w)
+    for x in (text, text * 40, "a" * 700 + text.replace(" ", "") + "ab" * 300):
+        ids, starts, raw, cuts = c.encode([x, text])
+        assert ids[: starts[1]].tolist() == t.encode_ordinary(x) and ids[starts[1] :].tolist() == t.encode_ordinary(text)
+        assert c.decode(ids, starts) == [x.encode(), text.encode()] == [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def test_recursion_goes_on_from_where_it_was_cut(monkeypatch):
+    import tiktoken
+
+    c = byte_bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    for rows, words, kept in ((1, 3, 5), (200, 1, 1)):
+        for name, value in (("MOST_ROWS", rows), ("WORDS_AT_ONCE", words), ("CACHE_WORDS", kept), ("IDS_AT_ONCE", 2)):
+            monkeypatch.setattr(byte_bpe, name, value)
+        for x in ("unhappily misunderstood xylophonists", "ababababab zzzzzzzzz", "Donaudampfschifffahrt 1234567 it's"):
+            ids, starts, _, _ = c.encode([x])
+            assert ids.tolist() == t.encode_ordinary(x) and c.decode(ids, starts) == [x.encode()]
 
 
 def test_store_round_trip(spark, odd_docs, tmp_path):
