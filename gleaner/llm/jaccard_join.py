@@ -4,14 +4,18 @@ Texts are sets of word n-grams; two sets link at a Jaccard similarity of `least`
 N-grams are ordered by their frequency, rare ones first (a sketch of fixed size gives it, so equal n-grams are placed alike
 in every set), and each set enters the index under the n-grams of its prefix alone: two linked sets share one of those.
 
-The index lists are sorted by set size.  For a set, whole stretches of a list are skipped by size, and postings by position:
-with the n-gram at places i and j of sets of a and b n-grams, the sets share at most min(i, j) + 1 + min(a - i - 1, b - j - 1).
+An index list is cut into blocks of equal position (its n-gram's place in a set's prefix), each in order of size.  With the
+n-gram at place j of a set of b and at place i >= j of one of a n-grams, they share at most j + 1 + min(a - i - 1, b - j - 1).  So
+for a set and a block only a range of sizes can link: it is found by search, and a block without one is skipped whole.
 
 Answers are derived along similar sets instead of being searched for each.  First each set of a list is only held against
-a few sets of it, its pivots, for a few turns; linked sets form groups, whose members share one answer, the component.
-Then the lists are looked at again, and only sets of different groups are held against each other, so a group of
-thousands of near copies costs a comparison a member and not one a pair.  Nothing is lost: sets of one group are connected
-already, and any other pair that could link is compared exactly.
+a few sets of it, its pivots, for TURNS turns.  A set that links with its pivot takes over the pivot's answer, the group of sets
+connected with it, and is from then on only looked up in lists that hold sets of other groups, there skipping its own group's
+blocks.  So a group of thousands of near copies costs a comparison a member and not one a pair.  Nothing is lost: sets of one
+group are connected already, and any other pair that could link is compared exactly.
+
+Each set has BITS parities, one of its n-grams by a part of the hash.  Parities in which two sets differ are a lower bound of the
+n-grams that only one of them has; pairs that differ in more than a link allows are not compared.
 
 Defined cases: null and empty texts have no n-grams and link with nothing; a text of fewer words than n has one n-gram, all of
 it; a row with a null id gives no row (it could name no component); repeated ids give a row each; extra columns are not
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +35,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .exchange import SENT, at_shards, block_names, frame, sent, shards, source, split_rows, text_blocks
-from .kernel import chunks, deltas, ngrams, pack, text_buffers, undeltas, unpack, words
-from .shared import components, free_shuffles, stored
+from .kernel import chunks, deltas, ngrams, pack, places, text_buffers, undeltas, unpack, words
+from .shared import free_shuffles, hung, named, stored
 
 CELLS, SLICES = 1 << 22, 64
 #: Ids that are broadcast to pick texts; more are joined by a shuffle.
 MOST_IDS = 1_000_000
-#: Turns of pivots before the rest is compared pair by pair; they end early when one finds fewer than FEW links.
-TURNS, FEW, PIVOTS = 4, 50, 8
-LONG_LIST = 48
+#: Turns of pivots before the rest is compared pair by pair; a list's pivots; those of a set's that it is compared with in a turn.
+TURNS, PIVOTS, LIKELY = 2, 32, 32
+LONG_LIST, BITS = 48, 256
+#: Pairs of a set and a block, or of two sets, that are held at once; groups of a list that are blocks of their own.
+AT_ONCE, APART = 1 << 20, 32
 
 
 def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -50,6 +57,18 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """BITS / 64 numbers for each set."""
+    out = []
+    for at in range(0, len(sets), 4096):
+        part = sets[at : at + 4096]
+        row = np.repeat(np.arange(len(part)), [len(x) for x in part])
+        bins = row * BITS + (np.concatenate(part) >> np.uint64(24)).astype(np.int64) % BITS
+        odd = np.bincount(bins, minlength=len(part) * BITS).astype(np.uint8) & 1
+        out += list(np.packbits(odd.reshape(len(part), BITS), axis=1, bitorder="little").view("<i8"))
+    return out
+
+
 def digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() if len(s) else b""
 
@@ -59,12 +78,18 @@ def needed(a: Column | np.ndarray, b: Column | np.ndarray, least: int) -> Column
     return -((-least * (a + b)) // (100 + least)) if isinstance(a, np.ndarray) else F.ceil(least * (a + b) / (100 + least) - 1e-9)
 
 
+def apart(pairs: DataFrame, least: int) -> DataFrame:
+    """pairs (size_a, size_b, sig_a, sig_b) without those whose parities differ too often."""
+    differ = sum((F.bit_count(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k])) for k in range(BITS // 64)), F.lit(0))
+    return pairs.where(differ <= F.col("size_a") + F.col("size_b") - 2 * needed(F.col("size_a"), F.col("size_b"), least))
+
+
 def prefix(a: np.ndarray, least: int) -> np.ndarray:
     return a + (-least * a) // 100 + 1
 
 
 def survey(rows: DataFrame, n: int) -> DataFrame:
-    """Stored rows: id, n, digest of every text, and slices of each block's counts of n-grams by cell."""
+    """Stored rows: id, n, digest, sig of every text, and slices of each block's counts of n-grams by cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, (ids, data, offsets, _) in zip(block_names(), text_blocks(batches), strict=False):
@@ -77,12 +102,12 @@ def survey(rows: DataFrame, n: int) -> DataFrame:
             k = len(ids)
             parts = [pack(x.astype(np.uint32)) for x in np.split(cells, SLICES)]
             yield frame(
-                {"id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "shard": pa.int64(), "block": pa.int64(), "body": pa.binary()},
-                id=[*ids.tolist(), *[None] * SLICES], n=[*map(len, sets), *[None] * SLICES], digest=[*names, *[None] * SLICES],
+                {"id": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "sig": pa.list_(pa.int64()), "shard": pa.int64(), "block": pa.int64(), "body": pa.binary()},
+                id=[*ids.tolist(), *[None] * SLICES], n=[*map(len, sets), *[None] * SLICES], digest=[*names, *[None] * SLICES], sig=[*parities(sets), *[None] * SLICES],
                 shard=[*[None] * k, *range(SLICES)], block=[*[None] * k, *[name] * SLICES], body=[*[None] * k, *parts],
             )
 
-    return stored(rows.mapInArrow(run, "id long, n long, digest binary, shard long, block long, body binary"), "sets")
+    return stored(rows.mapInArrow(run, "id long, n long, digest binary, sig array<long>, shard long, block long, body binary"), "sets")
 
 
 def frequencies(surveyed: DataFrame) -> np.ndarray:
@@ -138,11 +163,8 @@ def postings(rows: DataFrame, order: np.ndarray, n: int, least: int) -> DataFram
     return stored(at_shards(rows.mapInArrow(index, SENT), lists, schema), "lists")
 
 
-def grouped(lists: DataFrame, known: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The lists that still hold sets of several groups: gram, d, size, place, grp (a set without links is a group)."""
-    if links is None:
-        return lists.withColumn("grp", F.col("d"))
-    groups = known.join(components(links), "id").select("d", "component")
+def grouped(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists that still hold sets of several groups: gram, d, size, place, grp (a set without links is a group).  groups: d, component."""
     out = lists.join(groups, "d", "left").withColumn("grp", F.coalesce("component", "d")).drop("component")
     open_ = out.groupBy("gram").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("gram")
     return out.join(open_, "gram", "left_semi")
@@ -157,58 +179,106 @@ def pivots(lists: DataFrame, turn: int, least: int) -> DataFrame:
     bound = F.least("place", "p.place") + 1 + F.least(F.col("size") - F.col("place"), F.col("p.size") - F.col("p.place")) - 1
     both = both.where(bound >= needed(F.col("size"), F.col("p.size"), least))
     counts = both.groupBy(F.col("p.d").alias("a"), F.col("d").alias("b")).agg(F.count("*").alias("n"), F.first("p.size").alias("size_a"), F.first("size").alias("size_b"))
-    likely = can_link(counts, least).withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("r") <= PIVOTS)
+    likely = can_link(counts, least).withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.desc("n"), "a"))).where(F.col("r") <= LIKELY)
     return likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def across(lists: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) of sets of different groups that can still link, with their sizes; lists: gram, d, size, place, grp."""
+def _ranges(least: int, a: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest size that a set with the n-gram at place j <= i can have to link with one of a n-grams that has it at i."""
+    return -((-least * a) // 100), np.minimum(100 * a // least, (100 + least) * (j + a - i) // least - a)
+
+
+def near_in_lists(g: np.ndarray, i: np.ndarray, a: np.ndarray, grp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (q, r) of all pairs of postings of one list and different groups that can link.  Postings are in order of list, place,
+    group (of the lists with few groups) and size."""
+    n = len(g)
+    new_list = np.concatenate([[True], g[1:] != g[:-1]])
+    lst = np.cumsum(new_list) - 1
+    new = new_list | np.concatenate([[True], (i[1:] != i[:-1]) | (grp[1:] != grp[:-1])])
+    blk = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    place_of, group_of = i[first], grp[first]
+    key = (blk.astype(np.int64) << 32) + a
+    low = blk[np.flatnonzero(new_list)][lst]  # the first block of the own list
+    met = np.cumsum(blk - low + 1)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(met, (met[at - 1] if at else 0) + AT_ONCE, side="right")))
+        r = np.repeat(np.arange(at, to), blk[at:to] - low[at:to] + 1)
+        b = places(low[at:to], blk[at:to] - low[at:to] + 1)
+        other = (group_of[b] != grp[r]) | (group_of[b] < 0)  # a group's own blocks are skipped
+        r, b = r[other], b[other]
+        least_size, most_size = _ranges(least, a[r], i[r], place_of[b])
+        lo, hi = np.searchsorted(key, (b << 32) + least_size), np.searchsorted(key, (b << 32) + most_size, side="right")
+        hi = np.where(b == blk[r], np.minimum(hi, r), hi)
+        some = hi > lo
+        r, lo, hi = r[some], lo[some], hi[some]
+        pairs = np.cumsum(hi - lo)
+        x = 0
+        while x < len(r):
+            y = max(x + 1, int(np.searchsorted(pairs, (pairs[x - 1] if x else 0) + AT_ONCE, side="right")))
+            yield places(lo[x:y], (hi - lo)[x:y]), np.repeat(r[x:y], (hi - lo)[x:y])
+            x = y
+        at = to
+
+
+def across(lists: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of sets of different groups that can still link, with their sizes; lists: gram, d, size, place, grp; known: d, sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            g, d, a, i, c, big, small = cols
-            ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))
-            lo_of = np.concatenate([[0], ends[:-1]])
-            for step in range(0, len(ends), 4096):
-                out: list[tuple] = []
-                for lo, hi in zip(lo_of[step : step + 4096].tolist(), ends[step : step + 4096].tolist(), strict=True):
-                    for r in range(lo + 1, hi):
-                        first = lo + int(np.searchsorted(a[lo:r], -((-least * int(a[r])) // 100)))  # sizes below are skipped
-                        q = np.arange(first, r)
-                        q = q[c[first:r] != c[r]]
-                        if len(q):
-                            bound = np.minimum(i[q], i[r]) + 1 + np.minimum(a[q] - i[q] - 1, a[r] - i[r] - 1)
-                            q = q[bound >= needed(a[q], np.full(len(q), a[r]), least)]
-                            more = np.ones(len(q), np.int64)
-                            if len(q) and big[r] is not None:
-                                sizes = np.array([len(big[k]) for k in q])
-                                flat = np.concatenate([big[k] for k in q])
-                                own = big[r]
-                                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-                                row = np.repeat(np.arange(len(q)), sizes)
-                                shared = np.bincount(row[hit], minlength=len(q))
-                                first_shared = np.full(len(q), np.iinfo(np.int64).max)
-                                np.minimum.at(first_shared, row[hit], flat[hit])
-                                more = shared + np.minimum(small[q], small[r])
-                                rest = np.maximum((least * a[q] + 99) // 100, (least * a[r] + 99) // 100) - 1  # as in can_link
-                                ok = (first_shared == g[lo]) & (more + rest >= needed(a[q], np.full(len(q), a[r]), least))
-                                q, more = q[ok], more[ok]
-                            if len(q):
-                                out.append((d[q], np.full(len(q), d[r]), a[q], np.full(len(q), a[r]), more))
-                if out:
-                    x, y, ax, ay, more = [np.concatenate(z) for z in zip(*out, strict=True)]
-                    swap = x > y
-                    x, y, ax, ay = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ay, ax), np.where(swap, ax, ay)
-                    both, at, back = np.unique(np.stack([x, y], 1), axis=0, return_index=True, return_inverse=True)
-                    times = np.bincount(back.ravel(), weights=more).astype(np.int64)
-                    yield frame({k: pa.int64() for k in ("a", "b", "size_a", "size_b", "n")}, a=both[:, 0], b=both[:, 1], size_a=ax[at], size_b=ay[at], n=times)
+            g, d, a, i, c, sig, big, small = cols
+            lst = np.cumsum(np.concatenate([[True], g[1:] != g[:-1]])) - 1
+            by = np.lexsort((c, lst))
+            groups = np.bincount(lst[by], weights=np.concatenate([[True], (c[by][1:] != c[by][:-1]) | (lst[by][1:] != lst[by][:-1])]))
+            _, apart = np.unique(c, return_inverse=True)
+            apart = np.where(groups[lst] <= APART, apart.ravel(), -1)
+            order = np.lexsort((d, a, apart, i, lst))
+            g, d, a, i, c, sig, big, small, apart = [x[order] for x in (g, d, a, i, c, sig, big, small, apart)]
+            for q, r in near_in_lists(g, i, a, apart, least):
+                some = c[q] != c[r]
+                q, r = q[some], r[some]
+                some = np.bitwise_count(sig[q] ^ sig[r]).sum(1, dtype=np.int64) <= a[q] + a[r] - 2 * needed(a[q], a[r], least)
+                q, r = q[some], r[some]
+                more = np.ones(len(q), np.int64)
+                if len(q) and big[r[0]] is not None or any(big[k] is not None for k in np.unique(r).tolist()):
+                    q, r, more = told_once(g, a, big, small, q, r)
+                if not len(q):
+                    continue
+                x, y = np.minimum(d[q], d[r]), np.maximum(d[q], d[r])
+                ax, ay = np.where(d[q] <= d[r], a[q], a[r]), np.where(d[q] <= d[r], a[r], a[q])
+                both = np.lexsort((y, x))
+                x, y, ax, ay, more = x[both], y[both], ax[both], ay[both], more[both]
+                at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+                yield frame({k: pa.int64() for k in ("a", "b", "size_a", "size_b", "n")}, a=x[at], b=y[at], size_a=ax[at], size_b=ay[at], n=np.add.reduceat(more, at))
+
+        def told_once(g: np.ndarray, a: np.ndarray, big: np.ndarray, small: np.ndarray, q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Pairs of long lists in the first one that they share, with how many n-grams they can share in all lists."""
+            keep, more = np.ones(len(q), bool), np.ones(len(q), np.int64)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), len(r))
+            for lo, hi in pairwise(cuts.tolist()):
+                own, mine = big[r[lo]], q[lo:hi]
+                if own is None:
+                    continue
+                sizes = np.array([len(big[k]) for k in mine])
+                flat = np.concatenate([big[k] for k in mine])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                row = np.repeat(np.arange(len(mine)), sizes)
+                first_shared = np.full(len(mine), np.iinfo(np.int64).max)
+                np.minimum.at(first_shared, row[hit], flat[hit])
+                total = np.bincount(row[hit], minlength=len(mine)) + np.minimum(small[mine], small[r[lo]])
+                size = np.full(len(mine), a[r[lo]])
+                rest = np.maximum((least * a[mine] + 99) // 100, (least * size + 99) // 100) - 1  # as in can_link
+                keep[lo:hi] = (first_shared == g[r[lo]]) & (total + rest >= needed(a[mine], size, least))
+                more[lo:hi] = total
+            return q[keep], r[keep], more[keep]
 
         held: list[np.ndarray] | None = None
         for b in batches:
             cols = [b.column(k).to_numpy() for k in ("gram", "d", "size", "place", "grp")]
             grams = np.empty(b.num_rows, object)
             grams[:] = [None if x is None else np.sort(np.asarray(x, np.int64)) for x in b.column("big").to_pylist()]
-            cols += [grams, b.column("small").to_numpy()]
+            cols += [b.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64), grams, b.column("small").to_numpy()]
             cols = cols if held is None else [np.concatenate(z) for z in zip(held, cols, strict=True)]
             last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0  # the last list may go on
             if last:
@@ -222,8 +292,8 @@ def across(lists: DataFrame, least: int) -> DataFrame:
     long_ = lists.groupBy("gram").count().where(F.col("count") > LONG_LIST).select("gram", F.lit(1).alias("long"))
     told = lists.join(long_, "gram", "left")
     about = told.groupBy("d").agg(F.collect_list(F.when(F.col("long") == 1, F.col("gram"))).alias("big"), F.count(F.when(F.col("long").isNull(), 1)).alias("small"))
-    told = told.join(about, "d").select("gram", "d", "size", "place", "grp", F.when(F.col("long") == 1, F.col("big")).alias("big"), "small")
-    near = told.repartition(n, "gram").sortWithinPartitions("gram", "size", "d").mapInArrow(run, "a long, b long, size_a long, size_b long, n long")
+    told = told.join(about.join(known.select("d", "sig"), "d"), "d").select("gram", "d", "size", "place", "grp", "sig", F.when(F.col("long") == 1, F.col("big")).alias("big"), "small")
+    near = told.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(run, "a long, b long, size_a long, size_b long, n long")
     return near.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
 
 
@@ -237,20 +307,22 @@ def can_link(pairs: DataFrame, least: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, canon: DataFrame, n: int, least: int) -> DataFrame:
-    """Stored links (a, b) between the smallest ids of the pairs' sets, by exact comparison.  canon: d, id."""
-    pairs = stored(pairs.select("a", "b"), "candidates")
-    ids = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct().join(canon, "d")
-    ids = stored(ids, "wanted")
+    """Stored links (a, b) between the smallest ids of the pairs' sets, by exact comparison.  canon: d, id, n, sig."""
+    side = lambda x: canon.select(F.col("d").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"size_{x}"), F.col("sig").alias(f"sig_{x}"))
+    pairs = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    pairs = stored(apart(pairs, least).select("a", "b", "id_a", "id_b"), "candidates")
+    ids = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("d"), F.col("id_a").alias("id")), F.struct(F.col("b").alias("d"), F.col("id_b").alias("id")))).alias("x")).select("x.*").distinct()
     pick = ids if ids.count() > MOST_IDS else F.broadcast(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            sets = [s.astype("<u8").tobytes() for s in sets_of(data, offsets, n)]
-            yield frame({"d": pa.int64(), "id": pa.int64(), "s": pa.binary()}, d=b.column("d").to_pylist(), id=b.column("id").to_pylist(), s=sets)
+            found = sets_of(data, offsets, n)
+            own = pa.array([int.from_bytes(digest(x)[:8], "little", signed=True) == d for x, d in zip(found, b.column("d").to_pylist(), strict=True)], pa.bool_())  # ids may repeat
+            yield frame({"d": pa.int64(), "s": pa.binary()}, d=b.column("d"), s=[x.astype("<u8").tobytes() for x in found]).filter(own)
 
-    full = rows.join(pick, "id").select("d", "id", "text").mapInArrow(run, "d long, id long, s binary")
-    both = pairs.join(full.select(F.col("d").alias("b"), F.col("id").alias("id_b"), F.col("s").alias("s_b")), "b").join(full.select(F.col("d").alias("a"), F.col("id").alias("id_a"), F.col("s").alias("s_a")), "a")
+    full = rows.join(pick, "id").select("d", "text").mapInArrow(run, "d long, s binary")
+    both = pairs.join(full.select(F.col("d").alias("b"), F.col("s").alias("s_b")), "b").join(full.select(F.col("d").alias("a"), F.col("s").alias("s_a")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,22 +343,21 @@ def join(docs: DataFrame, *, n: int = 5, least: int = 80, id_col: str = "doc_id"
     rows = source(docs, id_col, text_col)
     surveyed = survey(rows, n)
     order = frequencies(surveyed)
-    about = surveyed.where("body is null").select("id", "n", "digest")
-    canon = about.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    canon = stored(canon.select("digest", "id", signed("digest").alias("d")), "canon")
+    about = surveyed.where("body is null").select("id", "n", "digest", "sig")
+    canon = about.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    canon = stored(canon.select("digest", "id", signed("digest").alias("d"), "n", "sig"), "canon")
     lists = postings(rows, order, n, least)
     free_shuffles(spark)
-    known = canon.select("d", "id")
-    links, open_ = None, stored(grouped(lists, known, None), "open")
-    for turn in range(TURNS):
-        found = verified(pivots(open_, turn, least), rows, known, n, least)
-        links = found if links is None else links.unionByName(found)
-        open_ = stored(grouped(lists, known, links), "open")
+    known = canon.select("d", "id", "n", "sig")
+    edges, open_ = None, lists.withColumn("grp", F.col("d"))
+    for turn in range(TURNS + 1):
+        likely = pivots(open_, turn, least) if turn < TURNS else can_link(across(open_, known, least), least)
+        found = verified(likely, rows, known, n, least)
+        edges = hung(found if edges is None else found.unionByName(edges), 2 if turn < TURNS else None)
+        if turn < TURNS:  # groups may still be parts of what is connected: their members are only compared oftener
+            open_ = stored(grouped(lists, known.join(named(edges), "id").select("d", "component")), "open")
         free_shuffles(spark)
-        if turn and found.count() < FEW:
-            break
-    links = links.unionByName(verified(can_link(across(open_, least), least), rows, known, n, least))
-    final = components(links)
+    final = named(edges)
     out = about.join(canon.select("digest", F.col("id").alias("first")), "digest", "left").join(final.select(F.col("id").alias("first"), "component"), "first", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
 
@@ -303,15 +374,14 @@ def representatives(docs: DataFrame, joined: DataFrame, *, id_col: str = "doc_id
     """docs with one document of each group: the one of the smallest id.  joined: rows of join().
 
     Rows of a null id, which no group could name, go; of rows of one id and text one stays."""
-    ids = stored(joined.where(F.col("component_id") == F.col(id_col)).select(id_col).distinct(), "kept")
-    kept = docs.join(ids if ids.count() > MOST_IDS else F.broadcast(ids), id_col, "left_semi").select(*docs.columns)
-    body = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    twice = kept.groupBy(F.col(id_col).alias("_id"), body.alias("_body")).count().where("count > 1").select("_id", "_body")
-    twice = stored(twice, "repeated")
+    ids = stored(joined.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "kept")
+    ids = ids if ids.count() > MOST_IDS else F.broadcast(ids)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("body"))
+    kept = whole.join(ids, "id", "left_semi")
+    twice = stored(kept.groupBy("id", "body").count().where("count > 1").select("id", "body"), "repeated")
     n = twice.count()
     if not n:
-        return kept
+        return kept.select("row.*")
     twice = twice if n > MOST_IDS else F.broadcast(twice)
-    on = (F.col(id_col) == F.col("_id")) & (body == F.col("_body"))
-    once = kept.join(twice, on, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.join(twice, on, "left_anti").unionByName(once)
+    once = kept.join(twice, ["id", "body"], "left_semi").groupBy("id", "body").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.join(twice, ["id", "body"], "left_anti").select("row.*").unionByName(once.select("row.*"))

@@ -64,28 +64,41 @@ def prefix_sums(df: DataFrame, group: list[str], order: Column, value: str, out:
     return joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_o", "_b", "_base")
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
-    """Connected components of the edges (a, b) of long ids: rows (id, component) for every id in an edge.
-
-    Alternating large-star and small-star rounds.  Each is a minimum per node (partial aggregation) and a
-    join, so a node of many neighbours is never gathered; each round is written to the shared folder."""
-    spark = edges.sparkSession
-    now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = stored(now, "edges")
-    mark = None
-    for _ in range(limit):
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select("b", "m").unionByName(small.select(F.col("a").alias("b"), "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        now = stored(small, "edges")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == mark:
-            break
-        mark = new
-    else:
+def hung(edges: DataFrame, rounds: int | None = None, limit: int = 60) -> DataFrame:
+    """Stored edges (a, b) of long ids, a > b, that connect what the given ones connect.
+
+    Every round hangs a node's neighbours of smaller id under the smallest of them, its parent, and then replaces what each node
+    hangs under by the parent of that.  A parent is a minimum (partial aggregation) and finding it a join, in which the many rows
+    of a node that very many hang under can be split, as the other side has one row a node; no node's neighbours are gathered.
+    Each round is written to the shared folder.  Without `rounds` it goes on until every node hangs under its component's smallest."""
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now, mark = edges.distinct(), None
+    if rounds is None:
+        now = stored(now, "edges")
+    for _ in range(limit if rounds is None else rounds):
+        low = now.groupBy("a").agg(F.min("b").alias("p"))
+        # (a, parent), and (sibling, parent) for the other smaller neighbours
+        near = now.join(low, "a").select(F.when(F.col("b") == F.col("p"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("p").alias("b"))
+        near = near.unionByName(low.select("a", F.col("p").alias("b")))
+        up = low.select(F.col("a").alias("b"), F.col("p").alias("above"))
+        now = stored(near.join(up, "b", "left").select("a", F.coalesce("above", "b").alias("b")).distinct(), "edges")
+        if rounds is None:
+            new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if new == mark:
+                return now
+            mark = new
+    if rounds is None:
         raise RuntimeError("the components did not settle")
-    roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+    return now
+
+
+def named(edges: DataFrame) -> DataFrame:
+    """Rows (id, component) for every id in edges of hung(): the smallest that it hangs under, or itself."""
+    up = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("component"))
+    roots = edges.select(F.col("b").alias("id")).distinct().join(up, "id", "left_anti")
+    return up.unionByName(roots.select("id", F.col("id").alias("component")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the edges (a, b) of long ids: rows (id, component) for every id in an edge."""
+    return named(hung(edges))

@@ -91,7 +91,7 @@ def test_jaccard_group_of_near_copies(spark):
 @pytest.mark.parametrize("alone", [False, True])
 def test_jaccard_passages_put_in_and_taken_out(spark, monkeypatch, alone):
     if alone:  # no pivots, and every list a long one: across() has to find all
-        for name, value in (("PIVOTS", 0), ("TURNS", 1), ("LONG_LIST", 0)):
+        for name, value in (("PIVOTS", 0), ("TURNS", 1), ("LONG_LIST", 0), ("AT_ONCE", 3), ("APART", 1)):
             monkeypatch.setattr(jaccard_join, name, value)
     rows = []
     for size in (30, 50, 80, 103, 150, 260):
@@ -262,3 +262,13 @@ def test_pipeline_stages(spark):
 
 def test_every_query_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for size in (1, 20, 300, 4_000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        for more in (0, 1, 7, size):
+            b = np.unique(np.concatenate([a[more // 2 :], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+            x, y = (p.view(np.uint64) for p in jaccard_join.parities([a, b]))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
