@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import pack, text_buffers, unpack
+from .kernel import mix, pack, text_buffers, unpack
 
 #: Bytes of text in a block: what a task holds at once, whatever the size of its partition (a longer text is a block of its own).
 BLOCK_BYTES = 16 << 20
@@ -84,6 +84,11 @@ def block_names() -> Iterator[int]:
         at += 1
 
 
+def home(block: int, n: int) -> int:
+    """A shard for what belongs to a block as a whole; blocks of all tasks are spread evenly."""
+    return int(mix(np.array([block], np.uint64))[0] % np.uint64(n))
+
+
 def split_rows(kind: int, block: int, keys: np.ndarray, n: int, *columns: np.ndarray, first: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> list[tuple[int, int, int, bytes]]:
     """Rows to send: each shard's keys in ascending order (as `first` codes them) and the columns beside them."""
     order, cuts = by_shard(keys, n)
@@ -120,7 +125,8 @@ def at_shards(df: DataFrame, work: Callable[[int, Iterator[tuple[int, int, list[
 
     spark = df.sparkSession
     n = shards(spark)
-    return df.repartition(n, "shard").sortWithinPartitions("shard", "kind", "block").mapInArrow(run, schema)
+    own = F.when(F.col("shard") < n, F.col("shard")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(n)))  # a task a shard; blocks by hash
+    return df.repartitionById(n, own.cast("int")).sortWithinPartitions("shard", "kind", "block").mapInArrow(run, schema)
 
 
 def frame(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import SENT, at_shards, block_names, frame, sent, shards, split_rows, text_blocks
+from .exchange import SENT, at_shards, block_names, frame, home, sent, shards, split_rows, text_blocks
 from .kernel import chunks, deltas, mix, pack, undeltas, unpack, words
 from .shared import free_shuffles, stored
 
@@ -245,7 +245,7 @@ def scores(rows: DataFrame, model: Model, table: DataFrame) -> DataFrame:
             wide = np.uint16 if len(ids) <= 65536 else np.uint32
             pairs, words_ = _asked(pair_keys(a, b), doc, n, wide), _asked(b, doc, n, wide)  # a document's contexts are the words that follow
             out = [(s, ASK, name, pack(*p, *w, np.array([len(ids)]))) for s, (p, w) in enumerate(zip(pairs, words_, strict=True)) if len(p[0]) or len(w[0])]
-            yield sent([*out, (name % n, HEAD, name, pack(ids, lang, role, n_words))])
+            yield sent([*out, (home(name, n), HEAD, name, pack(ids, lang, role, n_words))])
 
     def answer(shard: int, values: Iterator) -> Iterator[pa.RecordBatch]:
         pairs = words_ = (np.zeros(0, np.uint64), np.zeros(0))

@@ -272,3 +272,32 @@ def test_parities_never_exceed_the_difference():
             b = np.unique(np.concatenate([a[more // 2 :], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
             x, y = (p.view(np.uint64) for p in jaccard_join.parities([a, b]))
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_matching_statistics():
+    rng = np.random.default_rng(1)
+    seen = set()
+    for _ in range(40):
+        held = [rng.integers(0, 4, rng.integers(3, 12)).astype(np.uint64) for _ in range(5)]
+        index = substring_dedup.FMIndex(np.concatenate(held), np.array([len(x) for x in held]), np.arange(5), 4)
+        asked = [rng.integers(0, 5, rng.integers(1, 12)).astype(np.uint64) for _ in range(4)]
+        stat, lo, hi = index.statistics(np.concatenate(asked), np.array([len(x) for x in asked]))
+        holds = lambda w: {k for k, x in enumerate(held) if any((x[j : j + len(w)] == w).all() for j in range(len(x) - len(w) + 1))}  # noqa: B023, E731
+        at = 0
+        for x in asked:
+            for j in range(len(x)):
+                m = max(k for k in range(min(4, len(x) - j) + 1) if not k or holds(x[j : j + k]))
+                assert stat[at] == m and (not m or set(index.owner[lo[at] : hi[at]].tolist()) == holds(x[j : j + m]))
+                seen.add(m)
+                at += 1
+    assert seen == {0, 1, 2, 3, 4}
+
+
+def test_windows_shared_by_later_documents_only(spark):
+    """Documents around one minimizer: the earliest lacks windows that later ones share."""
+    rng = np.random.default_rng(3)
+    middle = [f"m{i}" for i in range(9)]
+    rows = [(i, " ".join([f"l{rng.integers(3)}x{k}" for k in range(6)] + middle + [f"r{rng.integers(3)}x{k}" for k in range(6)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.dedup(docs, size=13).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == brute_windows(rows)
