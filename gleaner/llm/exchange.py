@@ -34,8 +34,8 @@ def by_shard(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(n + 1))
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Ids, bytes, offsets and further columns (numbers or booleans) of about BLOCK_BYTES of texts."""
+def text_blocks(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = (), limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Ids, bytes, offsets and further columns (numbers or booleans) of about `limit` bytes of texts."""
     held: list[tuple] = []
     size = 0
 
@@ -55,11 +55,11 @@ def text_blocks(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ())
         cols = [b.column(c).to_numpy(zero_copy_only=False) for c in extra]
         at = 0
         while at < len(ids):
-            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES - size, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit - size, side="right")) - 1)
             held.append((ids[at:to], data[offsets[at] : offsets[to]], offsets[at : to + 1], [c[at:to] for c in cols]))
             size += int(offsets[to] - offsets[at])
             at = to
-            if size >= BLOCK_BYTES or at < len(ids):
+            if size >= limit or at < len(ids):
                 yield joined()
                 held, size = [], 0
     if held:

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 
 from .exchange import SENT, at_shards, block_names, frame, sent, shards, source, split_rows, text_blocks
 from .kernel import chunks, deltas, ngrams, pack, places, text_buffers, undeltas, unpack, words
-from .shared import free_shuffles, hung, named, stored
+from .shared import discard, free_shuffles, hung, named, stored
 
 CELLS, SLICES = 1 << 22, 64
 #: Ids that are broadcast to pick texts; more are joined by a shuffle.
@@ -334,7 +334,9 @@ def verified(pairs: DataFrame, rows: DataFrame, canon: DataFrame, n: int, least:
             mask = pa.array(ok, pa.bool_())
             yield frame({"a": pa.int64(), "b": pa.int64()}, a=b.column("id_a").filter(mask), b=b.column("id_b").filter(mask))
 
-    return stored(both.select("id_a", "id_b", "s_a", "s_b").mapInArrow(compare, "a long, b long"), "links")
+    out = stored(both.select("id_a", "id_b", "s_a", "s_b").mapInArrow(compare, "a long, b long"), "links")
+    discard(pairs)
+    return out
 
 
 def join(docs: DataFrame, *, n: int = 5, least: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,9 +355,11 @@ def join(docs: DataFrame, *, n: int = 5, least: int = 80, id_col: str = "doc_id"
     for turn in range(TURNS + 1):
         likely = pivots(open_, turn, least) if turn < TURNS else can_link(across(open_, known, least), least)
         found = verified(likely, rows, known, n, least)
+        spent = edges, found, open_
         edges = hung(found if edges is None else found.unionByName(edges), 2 if turn < TURNS else None)
         if turn < TURNS:  # groups may still be parts of what is connected: their members are only compared oftener
             open_ = stored(grouped(lists, known.join(named(edges), "id").select("d", "component")), "open")
+        discard(*spent)
         free_shuffles(spark)
     final = named(edges)
     out = about.join(canon.select("digest", F.col("id").alias("first")), "digest", "left").join(final.select(F.col("id").alias("first"), "component"), "first", "left")

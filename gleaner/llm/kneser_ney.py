@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .exchange import SENT, at_shards, block_names, frame, home, sent, shards, split_rows, text_blocks
 from .kernel import chunks, deltas, mix, pack, undeltas, unpack, words
-from .shared import free_shuffles, stored
+from .shared import discard, free_shuffles, stored
 
 #: Ids that are broadcast; more trusted documents than that are joined by a shuffle.
 MOST_IDS = 2_000_000
@@ -40,6 +40,8 @@ LEAST_HELD_OUT = 30
 TRAIN, TRIAL = 1, 2
 #: Documents are scored in so many rounds, by runs of 2 ** RUN ids, so that neighbours in a file share a block.
 ROUNDS, RUN = 4, 14
+#: Bytes of texts in a block of what is asked: a word takes several numbers there.
+ASK_BYTES = 10 << 20
 #: What a shard reads, in this order: counts of pairs, what their words' shards know of the words, its own words, what blocks ask, blocks' documents.
 PAIRS, REPLY, WORDS, ASK, HEAD, ABOUT = range(6)
 #: The word before the first and after the last one.
@@ -82,6 +84,18 @@ def neighbours(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return a, b, np.repeat(np.arange(len(n)), size), n
 
 
+def packed_pairs(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> bytes:
+    """Pairs in order of a as places in the list of their words."""
+    w, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    code = code.ravel().astype(np.uint32)
+    return pack(deltas(w), deltas(code[: len(a)]), code[len(a) :], c.astype(np.uint32))
+
+
+def unpacked_pairs(w: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The list of words, the pairs' places in it and their counts."""
+    return undeltas(w), undeltas(a).astype(np.int64), b.astype(np.int64), c.astype(np.int64)
+
+
 def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _CONTEXT + b)
 
@@ -116,11 +130,13 @@ class Model:
         """What a word adds to log p as a context and after one, as if its pairs were not counted."""
         return np.log(self.back(stats)) + np.log(self.lower(stats))
 
-    def of_pairs(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray, w: np.ndarray, stats: np.ndarray) -> np.ndarray:
-        """What counted pairs add to that.  w: ascending hashes of their words."""
-        i, j = np.searchsorted(w, a), np.searchsorted(w, b)
-        top = (counts - self.d2[np.minimum(counts, 3)]) / stats[0][i]
-        return np.log1p(top / (self.back(stats)[i] * self.lower(stats)[j]))
+    def of_pairs(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray, stats: np.ndarray) -> np.ndarray:
+        """What counted pairs add to that.  a, b: their words' places in stats."""
+        top = (counts - self.d2[np.minimum(counts, 3)]) / stats[0][a]
+        # a word that is no context has no back-off, and stands as none here
+        with np.errstate(divide="ignore", invalid="ignore"):
+            back = self.back(stats)
+        return np.log1p(top / (back[a] * self.lower(stats)[b]))
 
 
 def train(rows: DataFrame) -> tuple[Model, DataFrame]:
@@ -137,17 +153,18 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
             order = np.lexsort((b, a, shard))
             a, b, c = a[order], b[order], c[order].astype(np.uint32)
             cuts = np.searchsorted(shard[order], np.arange(n + 1, dtype=np.uint64)).tolist()
-            yield sent([(s, PAIRS, name, pack(deltas(a[x:y]), b[x:y], c[x:y])) for s, (x, y) in enumerate(pairwise(cuts)) if y > x])
+            yield sent([(s, PAIRS, name, packed_pairs(a[x:y], b[x:y], c[x:y])) for s, (x, y) in enumerate(pairwise(cuts)) if y > x])
 
     def add(shard: int, values: Iterator) -> Iterator[pa.RecordBatch]:
         held, waiting, size = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
-        for _, _, (a, b, c) in values:
-            waiting.append((undeltas(a), b, c.astype(np.int64)))
+        for _, _, arrays in values:
+            w, a, b, c = unpacked_pairs(*arrays)
+            waiting.append((w[a], w[b], c))
             size += len(c)
             if size > max(1 << 20, len(held[0])):
                 held, waiting, size = _merged(held, waiting), [], 0
         a, b, c = _merged(held, waiting)
-        yield sent([(shard, PAIRS, 0, pack(deltas(a), b, c)), (shard, ABOUT, 0, pack(np.array([(c == k).sum() for k in (1, 2, 3, 4)])))])
+        yield sent([(shard, PAIRS, 0, packed_pairs(a, b, c)), (shard, ABOUT, 0, pack(np.array([(c == k).sum() for k in (1, 2, 3, 4)])))])
 
     pairs = stored(at_shards(taught.mapInArrow(count, SENT), add, SENT), "pairs")
     free_shuffles(spark)
@@ -155,14 +172,11 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, body in zip(batch.column("shard").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                a, b, c = unpack(body)
-                a = undeltas(a)
+                w, a, b, c = unpacked_pairs(*unpack(body))
                 start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-                after, before = np.unique(b, return_counts=True)
-                w = np.union1d(a[start], after)
                 stats = np.zeros((5, len(w)), np.int64)
-                stats[:4, np.searchsorted(w, a[start])] = [np.add.reduceat(x.astype(np.int64), start) for x in (c, c == 1, c == 2, c > 2)]
-                stats[4, np.searchsorted(w, after)] = before
+                stats[:4, a[start]] = [np.add.reduceat(x.astype(np.int64), start) for x in (c, c == 1, c == 2, c > 2)]
+                stats[4] = np.bincount(b, minlength=len(w))
                 yield sent(split_rows(0, shard, w, n, *stats, first=deltas))
 
     def reply(shard: int, values: Iterator) -> Iterator[pa.RecordBatch]:
@@ -174,7 +188,7 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
         about = np.array([*[(before == k).sum() for k in (1, 2, 3, 4)], (before > 2).sum(), before.sum(), len(w)])
         yield sent([(shard, WORDS, 0, pack(deltas(w), *stats)), (shard, ABOUT, 0, pack(about))])
         for pair_shard, x, _ in asked:
-            yield sent([(pair_shard, REPLY, shard, pack(deltas(x), *stats[:, np.searchsorted(w, x)]))])
+            yield sent([(pair_shard, REPLY, shard, pack(*stats[:, np.searchsorted(w, x)]))])  # in the order asked
 
     words_ = stored(at_shards(pairs.where(F.col("kind") == PAIRS).mapInArrow(tell, SENT), reply, SENT), "words")
     free_shuffles(spark)
@@ -185,21 +199,23 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
     model = Model(told(pairs, 4), told(words_, 7))
 
     def value(shard: int, values: Iterator) -> Iterator[pa.RecordBatch]:
-        counted, replies = None, []
-        for kind, _, arrays in values:
+        counted, known, part = None, None, None
+        for kind, word_shard, arrays in values:
             if kind == PAIRS:
-                counted = undeltas(arrays[0]), arrays[1], arrays[2]
+                counted = unpacked_pairs(*arrays)
+                known, part = np.zeros((5, len(counted[0])), np.int64), counted[0] % np.uint64(n)
             elif kind == REPLY:
-                replies.append((undeltas(arrays[0]), np.stack(arrays[1:])))
+                known[:, part == word_shard] = arrays
             else:
                 yield sent([(shard, WORDS, 0, pack(arrays[0], model.of_words(np.stack(arrays[1:])).astype(np.float32)))])
         if counted is not None:
-            w, stats = np.concatenate([x for x, _ in replies]), np.concatenate([x for _, x in replies], axis=1)
-            by_word, key = np.argsort(w), pair_keys(*counted[:2])
+            w, a, b, c = counted
+            key = pair_keys(w[a], w[b])
             by_key = np.argsort(key)
-            yield sent([(shard, PAIRS, 0, pack(deltas(key[by_key]), model.of_pairs(*counted, w[by_word], stats[:, by_word])[by_key].astype(np.float32)))])
+            yield sent([(shard, PAIRS, 0, pack(deltas(key[by_key]), model.of_pairs(a, b, c, known)[by_key].astype(np.float32)))])
 
     table = stored(at_shards(pairs.unionByName(words_).where(F.col("kind") != ABOUT), value, SENT), "values")
+    discard(pairs, words_)
     free_shuffles(spark)
     return model, table
 
@@ -240,7 +256,7 @@ def scores(rows: DataFrame, model: Model, table: DataFrame) -> DataFrame:
     n = shards(spark)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, (ids, data, offsets, (lang, role)) in zip(block_names(), text_blocks(batches, ("lang", "role")), strict=False):
+        for name, (ids, data, offsets, (lang, role)) in zip(block_names(), text_blocks(batches, ("lang", "role"), ASK_BYTES), strict=False):
             a, b, doc, n_words = neighbours(data, offsets)
             wide = np.uint16 if len(ids) <= 65536 else np.uint32
             pairs, words_ = _asked(pair_keys(a, b), doc, n, wide), _asked(b, doc, n, wide)  # a document's contexts are the words that follow
@@ -292,6 +308,7 @@ def judge(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_c
         part = stored(scores(rows.where(F.pmod(F.shiftright("id", RUN), F.lit(ROUNDS)) == k), model, table), "scores")
         found = part if found is None else found.unionByName(part)
         free_shuffles(docs.sparkSession)
+    discard(table)
     log_ppl = -F.col("log_p") / (F.col("n_words") + 1)
     found = found.withColumn("x", F.when(F.col("n_words") > 0, log_ppl))
     trial = found.where((F.col("role") == TRIAL) & F.col("x").isNotNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,28 +15,43 @@ from pyspark.sql import Window as W
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that spark.checkpoint.dir names.
 
-    Where neither that setting nor a checkpoint folder exists (single-machine tests), one is set up."""
+    Where neither that setting nor a checkpoint folder exists, one is set up on a local master; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         base = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *, sort: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: the plan ends here, and no executor's loss undoes it."""
     spark = df.sparkSession
     path = work_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*spent: DataFrame | None) -> None:
+    """Deletes what stored() wrote, once nothing that is still to run reads it."""
+    for df in spent:
+        if path := getattr(df, "stored_at", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that are no longer referenced: what the first collection finds, the second frees."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def parts(spark: SparkSession) -> int:
@@ -75,13 +91,15 @@ def hung(edges: DataFrame, rounds: int | None = None, limit: int = 60) -> DataFr
     now, mark = edges.distinct(), None
     if rounds is None:
         now = stored(now, "edges")
-    for _ in range(limit if rounds is None else rounds):
+    for k in range(limit if rounds is None else rounds):
+        before = now if k or rounds is None else None
         low = now.groupBy("a").agg(F.min("b").alias("p"))
         # (a, parent), and (sibling, parent) for the other smaller neighbours
         near = now.join(low, "a").select(F.when(F.col("b") == F.col("p"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("p").alias("b"))
         near = near.unionByName(low.select("a", F.col("p").alias("b")))
         up = low.select(F.col("a").alias("b"), F.col("p").alias("above"))
         now = stored(near.join(up, "b", "left").select("a", F.coalesce("above", "b").alias("b")).distinct(), "edges")
+        discard(before)
         if rounds is None:
             new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
             if new == mark:
