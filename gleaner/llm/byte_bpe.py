@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .kernel import places, span_hashes
+from .kernel import give_back, places, span_hashes
 
 #: Words contracted at once, rows that a recursion may hold, words kept, characters of texts in a block, ids decoded at once.
 WORDS_AT_ONCE, MOST_ROWS, CACHE_WORDS, BLOCK_CHARS, IDS_AT_ONCE = 20_000, 4_000_000, 1_500_000, 1_500_000, 400_000
@@ -226,6 +226,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
                     yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(starts)), pa.array(sums), pa.array([hashlib.sha256(x).hexdigest() for x in back])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
                     yield pa.RecordBatch.from_arrays([names, lists], names=["id", "ids"])
+            give_back()
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return src.mapInArrow(run, DIGEST if digest else "id long, ids array<int>").withColumnRenamed("id", id_col)

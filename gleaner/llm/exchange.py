@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import mix, pack, text_buffers, unpack
+from .kernel import give_back, mix, pack, text_buffers, unpack
 
 #: Bytes of text in a block: what a task holds at once, whatever the size of its partition (a longer text is a block of its own).
 BLOCK_BYTES = 16 << 20
@@ -64,6 +64,8 @@ def text_blocks(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = (),
                 held, size = [], 0
     if held:
         yield joined()
+    held.clear()
+    give_back()
 
 
 SENT = "shard long, kind int, block long, body binary"
@@ -122,6 +124,7 @@ def at_shards(df: DataFrame, work: Callable[[int, Iterator[tuple[int, int, list[
             yield from work(shard, mine)
             for _ in mine:  # what the work left unread
                 pass
+            give_back()
 
     spark = df.sparkSession
     n = shards(spark)

@@ -7,6 +7,8 @@ for all words of a batch with one cumulative sum, then finalised.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,12 +124,24 @@ def stems(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...]) -> tupl
 
 
 def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the stretches of bytes from starts to before ends."""
+    """Hashes of the stretches of bytes from starts to before ends, for words those of words()."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     power, inverse = _powers(len(b) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[b] * power[: len(b)], dtype=np.uint64)])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts - 1).astype(np.uint64))
+
+
+def lowered(b: np.ndarray) -> np.ndarray:
+    """Bytes with the letters A to Z lowered."""
+    return _LOWER[b]
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: workers live on between tasks, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def places(first: np.ndarray, size: np.ndarray) -> np.ndarray:

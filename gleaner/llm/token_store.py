@@ -17,30 +17,41 @@ documents of their own, one after another; extra columns are not read; no docume
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
-from .kernel import chunks, mix, squeeze, text_buffers, unsqueeze, word_spans, words
+from .kernel import chunks, give_back, lowered, mix, places, span_hashes, squeeze, text_buffers, unsqueeze, word_spans
 from .shared import free_shuffles, parts, prefix_sums
 
 WINDOW, MASK, LEAST, MOST = 8, (1 << 10) - 1, 128, 8192
-FLUSH_BYTES = 24 << 20
-CACHE = 2_500_000
+FLUSH_BYTES = 16 << 20
+CACHE, CHUNK = 2_500_000, 2 << 20
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 _coders: dict[str, Coder] = {}
 
 
+#: What the tokenizers file has to say for words to be encoded one by one: letters are lowered, white space parts words and is dropped.
+LOWERING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
 class Coder:
-    """A tokenizer with the ids of the words met so far: word hashes in order, and each word's stretch of one pool of ids."""
+    """A tokenizer with the ids of the words met so far: word hashes in order, and each word's stretch of one pool of ids.
+
+    Words met lately are a short list beside the long one, and join it when they are a quarter of it."""
 
     def __init__(self, path: str):
         import os
@@ -48,87 +59,108 @@ class Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        split = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        if (told["normalizer"] or {}).get("normalizers") != LOWERING or split[0].get("pattern") != {"Regex": PARTING} or not split[0].get("invert") or split[0].get("behavior") != "Removed":
+            raise ValueError(f"{path}: this tokenizer may join over white space or tell cases apart")
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = [e.ids for e in self.tokenizer.encode_batch_fast([".", ","], add_special_tokens=False)]
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.long, self.short = none, none
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def place(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each hash stands in keys, and whether it is there."""
-        k = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
-        return k, (self.keys[k] == h) if len(self.keys) else np.zeros(len(h), bool)
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each hash's ids start and how many they are, and whether it is known."""
+        at, size, known = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        for keys, starts, sizes in (self.long, self.short):
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[k] == h
+                at[hit], size[hit] = starts[k[hit]], sizes[k[hit]]
+                known |= hit
+        return at, size, known
 
     def insert(self, h: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        h, first = np.unique(h, return_index=True)
-        where = np.searchsorted(self.keys, h)
-        self.keys, self.at, self.size = np.insert(self.keys, where, h), np.insert(self.at, where, at[first]), np.insert(self.size, where, size[first])
-
-    def learn(self, names: np.ndarray, found: list[str]) -> None:
-        """Takes in new words.  The library lowers letters and splits a full stop or comma from a letter before it, so
-        ASCII words are encoded once without case and such an end."""
-        base = [(w[:-1] if w[-1] in ".," and w[-2:-1].isalnum() else w).lower() if w.isascii() else w for w in found]
-        tail = np.array([0 if len(b) == len(w) or not w.isascii() else 1 + (w[-1] == ",") for b, w in zip(base, found, strict=True)])
-        for kind in (".", ","):
-            base.append(kind)
-        raw = np.frombuffer(" ".join(base).encode(), np.uint8)
-        h = words(raw, np.array([0, len(raw)]))[0]
-        u, first = np.unique(h, return_index=True)
-        new = first[~self.place(u)[1]]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            rows = [e.ids for e in self.tokenizer.encode_batch_fast([base[i] for i in part], add_special_tokens=False)]
-            size = np.array([len(x) for x in rows], np.int64)
-            self.insert(h[part], self.append(np.fromiter((i for x in rows for i in x), np.uint32, int(size.sum())), size), size)
-        k = self.place(h)[0]
-        at, size = self.at[k], self.size[k]
-        ends = [self.pool[at[-2] : at[-2] + size[-2]], self.pool[at[-1] : at[-1] + size[-1]]]
-        at, size = at[:-2], size[:-2]
+        """Takes in hashes that are not known yet."""
+        self.short = _merged(self.short, (h, at, size))
+        if 4 * len(self.short[0]) > len(self.long[0]):
+            self.long, self.short = _merged(self.long, self.short), (h[:0], at[:0], size[:0])
+
+    def learn(self, names: np.ndarray, b: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        """Takes in new words, the stretches of the bytes b from starts to before stops.  As the library lowers letters and parts a
+        full stop or comma from a letter or digit before it, ASCII words are encoded once without case and such an end."""
+        wide = np.concatenate([[0], np.cumsum(b >= 128)])
+        plain = wide[stops] == wide[starts]
+        low, last = lowered(b), b[stops - 1]
+        apart = plain & (stops - starts > 1) & _ALNUM[b[stops - 2]]
+        tail = np.where(apart & (last == 46), 1, np.where(apart & (last == 44), 2, 0))
+        stops = stops - (tail > 0)
+        h = np.where(plain, span_hashes(low, starts, stops), span_hashes(b, starts, stops))
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        new = np.flatnonzero(~self.find(u)[2])
+        some = first[new]
+        low, raw = low.tobytes(), b.tobytes()
+        base = [(low if p else raw)[x:y].decode() for p, x, y in zip(plain[some].tolist(), starts[some].tolist(), stops[some].tolist(), strict=True)]
+        self.insert(u[new], *self.encoded(base))
+        at, size, _ = self.find(u)
+        at, size = at[back], size[back]
         for t in (1, 2):
             if len(who := np.flatnonzero(tail == t)):
-                extra = len(ends[t - 1])
+                end = self.ends[t - 1]
+                extra = len(end)
                 grown = size[who] + extra
-                first = np.cumsum(grown) - grown
-                ids = np.empty(int(grown.sum()), np.uint32)
-                inner = np.repeat(first, size[who]) + _ramp(size[who])
-                ids[inner] = self.pool[np.repeat(at[who], size[who]) + _ramp(size[who])]
+                start = np.cumsum(grown) - grown
+                more = np.empty(int(grown.sum()), np.uint32)
+                more[places(start, size[who])] = self.pool[places(at[who], size[who])]
                 for j in range(extra):
-                    ids[first + size[who] + j] = ends[t - 1][j]
-                at[who] = self.append(ids, grown)
+                    more[start + size[who] + j] = end[j]
+                at[who] = self.append(more, grown)
                 size[who] = grown
-        fresh = ~self.place(names)[1]
+        fresh = ~self.find(names)[2]
         self.insert(names[fresh], at[fresh], size[fresh])
 
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text start in the pool and how many they are."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(texts), 20_000):
+            rows = [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 20_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+            ids.append(np.fromiter(chain.from_iterable(rows), np.uint32, int(sizes[-1].sum())))
+        size = np.concatenate(sizes)
+        return self.append(np.concatenate(ids), size), size
+
     def append(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
         if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool) // 2, len(ids)), np.uint32)])
         self.pool[self.used : self.used + len(ids)] = ids
         at = self.used + np.cumsum(size) - size
         self.used += len(ids)
         return at
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of each document.  The vocabulary's splitter never joins over white space, so each run of other
-        characters is encoded by the library once and kept."""
-        if len(self.keys) > CACHE:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, and where each one's start.  The vocabulary's splitter never joins over white space, so each run
+        of other characters is encoded by the library once and kept."""
+        if len(self.long[0]) > CACHE:
             self.clear()
         h, bounds, starts, ends = word_spans(data, offsets)
-        u, first = np.unique(h, return_index=True)
-        miss = ~self.place(u)[1]
-        if miss.any():
-            raw = data[offsets[0] : offsets[-1]].tobytes()
-            self.learn(u[miss], [raw[a : b + 1].decode() for a, b in zip(starts[first[miss]].tolist(), ends[first[miss]].tolist(), strict=True)])
-        k = self.place(h)[0]
-        size = self.size[k]
-        ids = self.pool[np.repeat(self.at[k], size) + _ramp(size)]
-        cuts = np.concatenate([[0], np.cumsum(size)])[bounds]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        u, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at, size, known = self.find(u)
+        if not known.all():
+            who = first[~known]
+            self.learn(u[~known], data[offsets[0] : offsets[-1]], starts[who], ends[who] + 1)
+            at, size, _ = self.find(u)
+        size = size[back]
+        return self.pool[places(at[back], size)], np.concatenate([[0], np.cumsum(size)])[bounds]
 
 
-def _ramp(size: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each of consecutive stretches."""
-    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+    order = np.argsort(both[0], kind="stable")
+    return tuple(x[order] for x in both)
 
 
 def coder(path: str) -> Coder:
@@ -137,24 +169,25 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
-def cut(ids: np.ndarray) -> list[tuple[int, int]]:
-    """Content-defined chunks of one document's ids: a cut follows where the hash of the last WINDOW ids ends in
-    zeros, at least LEAST and at most MOST ids after the last."""
+def cut(ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Content-defined chunks of documents' ids, one document after the other: the document, the chunk's number in it, its first id
+    and the one after its last.  A cut follows where the hash of the last WINDOW ids ends in zeros, at least LEAST and at most MOST
+    ids after the last."""
     n = len(ids)
-    if n <= LEAST:
-        return [(0, n)]
     m = mix(ids.astype(np.uint64) + np.uint64(1))
     h = np.zeros(n, np.uint64)
-    for k in range(WINDOW):
+    for k in range(WINDOW if n >= WINDOW else 0):
         h[WINDOW - 1 :] += m[k : n - WINDOW + 1 + k] * np.uint64(2 * k * k + 3 * k + 1 | 1)
-    marks = np.flatnonzero((mix(h) & np.uint64(MASK)) == 0) + 1
-    out, at = [], 0
-    while at < n:
-        k = np.searchsorted(marks, at + LEAST)
-        to = min(int(marks[k]) if k < len(marks) else n, at + MOST, n)
-        out.append((at, to))
-        at = to
-    return out
+    marks = (np.flatnonzero((mix(h) & np.uint64(MASK)) == 0) + 1).tolist()  # a window over two documents is nearer than LEAST to the second one's start
+    for doc, (at, end) in enumerate(pairwise(starts.tolist())):
+        seq = 0
+        while at < end:
+            to = end
+            if end - at > LEAST:
+                k = bisect_left(marks, at + LEAST)
+                to = min(marks[k] if k < len(marks) else end, at + MOST, end)
+            yield doc, seq, at, to
+            at, seq = to, seq + 1
 
 
 def _crc_multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,15 +199,27 @@ def _crc_multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return p
 
 
-def crc_join(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """CRC-32 of A+B from those of A and B and the bytes of B, as vectors."""
-    power = np.full(len(size), 0x80000000, np.uint64)  # x^0
+def _crc_powers(size: np.ndarray) -> np.ndarray:
+    """x^(8 size) of each size in bytes."""
+    left, power = size.astype(np.uint64), np.full(len(size), 0x80000000, np.uint64)  # x^0
     step = np.full(1, 0x00800000, np.uint64)  # x^8
-    left = size.astype(np.uint64).copy()
     while left.any():
         power = np.where(left & np.uint64(1), _crc_multiply(power, np.broadcast_to(step, power.shape)), power)
         step = _crc_multiply(step, step)
         left >>= np.uint64(1)
+    return power
+
+
+@functools.cache
+def _chunk_powers() -> np.ndarray:
+    """The powers for chunks of 0 to MOST ids."""
+    return _crc_powers(4 * np.arange(MOST + 1))
+
+
+def crc_join(first: np.ndarray, second: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """CRC-32 of A+B from those of A and B and the bytes of B, as vectors."""
+    whole = len(size) and not (size % 4).any() and size.max() <= 4 * MOST
+    power = _chunk_powers()[size.astype(np.int64) // 4] if whole else _crc_powers(size)
     return _crc_multiply(power, first) ^ second.astype(np.uint64)
 
 
@@ -183,7 +228,6 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col
     spark = docs.sparkSession
 
     schema = "chunk binary, n int, payload binary, refs array<struct<doc_id: long, uid: long, seq: int>>"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -194,44 +238,54 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col
         size = 0
 
         def flushed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"chunk": h, "n": n, "payload": p, "refs": refs} for h, (n, p, refs) in held.items()], arrow)
+            names, (sizes, payloads, refs) = list(held), zip(*held.values(), strict=True)
+            doc, uid, seq = zip(*chain.from_iterable(refs), strict=True)
+            uses = pa.StructArray.from_arrays([pa.array(doc, pa.int64()), pa.array(uid, pa.int64()), pa.array(seq, pa.int32())], names=["doc_id", "uid", "seq"])
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in refs])])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(payloads, pa.binary()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), uses)], names=["chunk", "n", "payload", "refs"])
 
         for df in batches:
             ids = df.column(0).to_pylist()
             data, offsets = text_buffers(df.column(1))
-            for at, to in chunks(offsets):
-                for key, x in zip(ids[at:to], c.encode(data, offsets[at : to + 1]), strict=True):
-                    x = np.append(x, np.uint32(end_id))
-                    for seq, (a, b) in enumerate(cut(x)):
-                        raw = x[a:b].astype("<u4").tobytes()
-                        name = hashlib.blake2b(raw, digest_size=16).digest()
-                        if name not in held:
-                            p = squeeze(np.ascontiguousarray(x[a:b].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-                            held[name] = [b - a, p, []]
-                            size += len(p) + 200
-                        held[name][2].append({"doc_id": key, "uid": task + count, "seq": seq})
-                        size += 60
-                    count += 1
+            for at, to in chunks(offsets, CHUNK):
+                tokens, cuts = c.encode(data, offsets[at : to + 1])
+                starts = cuts + np.arange(len(cuts))  # each document has the end id as well
+                x = np.full(int(starts[-1]), end_id, "<u4")
+                x[places(starts[:-1], np.diff(cuts))] = tokens
+                raw = memoryview(x.tobytes())
+                for doc, seq, a, b in cut(x, starts):
+                    name = hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest()
+                    if name not in held:
+                        p = squeeze(np.ascontiguousarray(x[a:b].view(np.uint8).reshape(-1, 4).T).tobytes())
+                        held[name] = [b - a, p, []]
+                        size += len(p) + 300
+                    held[name][2].append((ids[at + doc], task + count + doc, seq))
+                    size += 120
+                count += to - at
                 if size > FLUSH_BYTES:
                     yield flushed()
                     held.clear()
                     size = 0
+            give_back()
         if held:
             yield flushed()
+        held.clear()
+        give_back()
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     made = src.mapInArrow(run, schema)
 
-    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for df in batches:
-            keys = df["chunk"].tolist()
-            first = [k != (keys[i - 1] if i else last) for i, k in enumerate(keys)]
-            last = keys[-1] if keys else last
-            df["payload"] = df["payload"].where(pd.Series(first, index=df.index), None)
-            yield df
-
-    made = made.repartition(parts(spark), "chunk").sortWithinPartitions("chunk").mapInPandas(once, made.schema)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b.column("chunk")
+            new = pa.concat_arrays([pa.array([names[0].as_py() != last]), pc.not_equal(names[1:], names[:-1])])
+            last = names[-1].as_py()
+            yield pa.RecordBatch.from_arrays([names, b.column("n"), pc.if_else(new, b.column("payload"), pa.nulls(len(names), pa.binary())), b.column("refs")], names=["chunk", "n", "payload", "refs"])
+
+    made = made.repartition(parts(spark), "chunk").sortWithinPartitions("chunk").mapInArrow(once, made.schema)
     made.write.option("compression", "uncompressed").parquet(f"{path}/packs")
     del made
     free_shuffles(spark)
@@ -239,13 +293,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col
     recipes = uses.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("seq", "chunk", "n"))).alias("chunks"), F.sum("n").alias("n_tokens"))
     # doc ids in order, equal ids by uid; null first
     recipes = recipes.withColumn("place", F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))))
-    splits = recipes.select("place").approxQuantile("place", [i / 64 for i in range(65)], 0.002)
+    n = max(64, parts(spark))
+    splits = recipes.select("place").approxQuantile("place", [i / n for i in range(n + 1)], 0.1 / n)
     splits = sorted({int(x) for x in splits[1:-1]})
-    bucket = F.lit(0)
-    for s in splits:
-        bucket = bucket + (F.col("place") >= s).cast("int")
+    bucket = F.size(F.filter(F.array(*map(F.lit, splits)).cast("array<long>"), lambda x: x <= F.col("place")))
     recipes = recipes.withColumn("bucket", bucket)
-    sums = {r["bucket"]: r["s"] for r in recipes.groupBy("bucket").agg(F.sum("n_tokens").alias("s")).collect()}  # at most 64 rows
+    sums = {r["bucket"]: r["s"] for r in recipes.groupBy("bucket").agg(F.sum("n_tokens").alias("s")).collect()}  # a row a bucket
     base, at = [], 0
     for k in sorted(sums):
         base.append((k, at))
@@ -259,7 +312,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col
 
 
 def nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Merkle nodes of the recipes by bucket: leaves are documents, a node covers up to 1,024 below it.  The last row is the root."""
+    """Merkle nodes of the recipes by bucket: leaves are documents, a node covers those that start within 1,048,576 ids, one of a bucket its nodes, the root the buckets.  The last row is the root."""
     leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", F.concat_ws(",", F.transform("chunks", F.hex))), 256)
     r = spark.read.parquet(f"{path}/recipes").select("bucket", "start", leaf.alias("leaf"))
     lo = r.groupBy("bucket").agg(F.min("start").alias("lo"))
@@ -273,7 +326,7 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
 
 def verify(spark: SparkSession, path: str) -> None:
     """Fails if the recipes are not those that the manifest names."""
-    told = {r["bucket"]: r["node"] for r in spark.read.parquet(f"{path}/manifest").collect()}  # at most 65 rows
+    told = {r["bucket"]: r["node"] for r in spark.read.parquet(f"{path}/manifest").collect()}  # a row a bucket, and the root
     found = {r["bucket"]: r["node"] for r in nodes(spark, path).collect()}
     if told != found:
         raise ValueError(f"{path}: the recipes differ from the manifest")
@@ -305,25 +358,28 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files: each stored chunk is opened, checked and
     summed once where it lies, and a document's sum is put together from those of its chunks."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            raw = [_open(p, n, c) for p, n, c in zip(df["payload"], df["n"], df["chunk"], strict=True)]
-            yield pd.DataFrame({"chunk": df["chunk"], "size": [len(x) for x in raw], "crc": [zlib.crc32(x) for x in raw]})
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            rows = df["cs"].tolist()
-            total = np.zeros(len(rows), np.uint64)
-            size = np.zeros(len(rows), np.int64)
-            for k in range(max((len(x) for x in rows), default=0)):
-                who = np.array([i for i, x in enumerate(rows) if len(x) > k])
-                add = np.array([[rows[i][k]["crc"], rows[i][k]["size"]] for i in who], dtype=np.int64)
-                total[who] = crc_join(total[who], add[:, 0], add[:, 1])
-                size[who] += add[:, 1]
-            yield pd.DataFrame({"doc_id": df["doc_id"], "start": df["start"], "n_tokens": size // 4, "ids_crc32": total.astype(np.int64)})
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [_open(p, n, c) for p, n, c in zip(b.column("payload").to_pylist(), b.column("n").to_pylist(), b.column("chunk").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("chunk"), pa.array(map(len, raw), pa.int64()), pa.array(map(zlib.crc32, raw), pa.int64())], names=["chunk", "size", "crc"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("cs")
+            flat = lists.flatten()
+            size, crc = [flat.field(k).to_numpy(zero_copy_only=False) for k in ("size", "crc")]
+            count = np.diff(lists.offsets.to_numpy())
+            first, total, whole = np.cumsum(count) - count, np.zeros(len(count), np.uint64), np.zeros(len(count), np.int64)
+            who = np.argsort(-count, kind="stable")
+            for k in range(int(count.max(initial=0))):
+                who = who[: int(np.searchsorted(-count[who], -k, side="left"))]  # documents of more than k chunks
+                at = first[who] + k
+                total[who] = crc_join(total[who], crc[at], size[at])
+                whole[who] += size[at]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(whole // 4), pa.array(total.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     verify(spark, path)
-    packed = spark.read.parquet(f"{path}/packs").where("payload is not null").select("chunk", "n", "payload").mapInPandas(sums, "chunk binary, size long, crc long")
+    packed = spark.read.parquet(f"{path}/packs").where("payload is not null").select("chunk", "n", "payload").mapInArrow(sums, "chunk binary, size long, crc long")
     r = spark.read.parquet(f"{path}/recipes").select("uid", "doc_id", "start", F.posexplode("chunks").alias("seq", "chunk"))
     r = r.join(packed, "chunk").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("seq", "size", "crc"))).alias("cs"))
-    return r.select("doc_id", "start", "cs").mapInPandas(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return r.select("doc_id", "start", "cs").mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -88,10 +88,12 @@ def test_store_round_trip(spark, odd_docs, tmp_path):
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 49_000, 40_000).astype(np.uint32), rng.integers(0, 49_000, 777).astype(np.uint32)
-    parts = lambda x: {x[i:j].tobytes() for i, j in token_store.cut(x)}
+    parts = lambda x: {x[i:j].tobytes() for _, _, i, j in token_store.cut(x, np.array([0, len(x)]))}
     same = parts(a) & parts(np.concatenate([b, a]))
     assert len(same) > 0.7 * len(parts(a))
-    assert b"".join(a[i:j].tobytes() for i, j in token_store.cut(a)) == a.tobytes()
+    assert b"".join(a[i:j].tobytes() for _, _, i, j in token_store.cut(a, np.array([0, len(a)]))) == a.tobytes()
+    two = np.concatenate([a, a])  # a document is cut alike after another one
+    assert {two[i:j].tobytes() for _, _, i, j in token_store.cut(two, np.array([0, len(a), len(two)]))} == parts(a)
 
 
 def test_crc_join():
