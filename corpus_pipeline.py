@@ -1,7 +1,12 @@
 """A training corpus from raw documents: quality, near copies, secrets, mixture, token ids.
 
 Each stage reads what its predecessor left as Parquet in the shared folder and returns the documents that stay, as
-documents; the last one returns token ids.  No stage holds state for the next one, so a lost executor costs at most the tasks it ran.
+documents; the last one returns token ids.
+
+In every stage rows of a null or empty text, repeated rows and further columns (of any names) have the results that the stage's
+operator defines, and an empty table gives an empty one: the first stage drops texts without words and rows without an id, the
+second keeps one row of equal ids and texts, the third leaves texts without secrets as they are, the fourth draws equal rows alike,
+the fifth gives every row its ids.  Very long texts are single values in all of them.  No stage holds state for the next one, so a lost executor costs at most the tasks it ran.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import byte_bpe, jaccard_join, kneser_ney, mixing, secrets
-from gleaner.llm.shared import free_shuffles, stored
+from gleaner.llm.shared import discard, free_shuffles, stored, work_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,7 +36,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, found secrets replaced in their texts; n_chars is the new text's length."""
-    clean = secrets.redact(docs, secrets.findings(docs))
+    ledger = secrets.record(docs, work_folder(spark, "secret-ledger"))
+    clean = secrets.redact(docs, secrets.recorded(docs, ledger))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -61,6 +67,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, one after the other, each one's rows written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)
+        docs = kept
         free_shuffles(spark)
     return docs

@@ -8,8 +8,8 @@ the last level goes to documents in a seeded order while they fit, and to one mo
 still lacking.  Documents are taken whole.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, after
-all others; rows with a null or repeated id are documents of their own (the order breaks ties by content, and equal rows
-share one fate); no documents give no rows; extra columns are not read.
+all others; rows with a null or repeated id are documents of their own (the order breaks ties by content; of equal rows
+it does not matter which is taken, but each is counted by itself); no documents give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     many = dict(docs.dtypes)[source_col].startswith("array")
     member = F.coalesce(F.array_sort(F.array_distinct(F.col("_s"))), F.array().cast("array<string>")) if many else F.array("_s")
     src = docs.select(docs[id_col].alias("id"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), docs[source_col].alias("_s"))
-    src = src.select("id", "size", member.alias("sources"))
+    src = stored(src.select("id", "size", member.alias("sources")), "sizes")  # words are counted once
     sums = src.groupBy("sources").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -150,9 +150,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     lack = placed.groupBy("pattern").agg((F.first("rest") - F.coalesce(F.max(F.when(F.col("fits"), F.col("_before") + F.col("size"))), F.lit(0))).alias("lack"))
     lack = F.broadcast(lack)
     last = placed.join(lack, "pattern").where((F.col("full") < most) & ~F.col("fits") & (F.abs(F.col("size") - F.col("lack")) < F.col("lack")))
-    last = last.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")).alias("off"), "_k", "size", "id")).alias("last"))
+    last = last.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("lack")).alias("off"), "_k", "_before", "size", "id")).alias("last"))  # words before tell equal rows apart
     placed = placed.join(F.broadcast(last), "pattern", "left")
-    chosen = F.col("fits") | F.coalesce((F.col("_k") == F.col("last._k")) & F.col("id").eqNullSafe(F.col("last.id")) & (F.col("size") == F.col("last.size")), F.lit(False))
+    chosen = F.col("fits") | F.coalesce((F.col("_k") == F.col("last._k")) & (F.col("_before") == F.col("last._before")) & F.col("id").eqNullSafe(F.col("last.id")) & (F.col("size") == F.col("last.size")), F.lit(False))
     extra = F.when(F.coalesce(chosen, F.lit(False)), F.col("size")).otherwise(F.lit(0))
     return placed.select(F.col("id").alias(id_col), "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.coalesce("full", F.lit(0)) + extra).cast("long").alias("taken"))
 
@@ -166,5 +166,6 @@ def drawn(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col
     if times.count() <= MOST_IDS:
         times = F.broadcast(times)
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.join(times, docs[id_col].eqNullSafe(times["_id"]) & (size == times["_size"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), size.alias("size"))
+    rows = rows.join(times, F.col("id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")

@@ -57,7 +57,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(secrets.findings(documents(spark, sf_dir)))
+    docs = documents(spark, sf_dir)
+    return secrets.report(secrets.recorded(docs, secrets.record(docs, work_folder(spark, "secret-ledger"))))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ the ledger does not hold, and the findings join back to all rows (paths, documen
 found without positions from the regex engine: the text split by a pattern and the pattern's matches alternate, so
 offsets are running sums of their lengths in code points.
 
+A ledger is a table of (blob, kind, version, spans) in a folder of the shared store; a blob in which a rule finds nothing has a
+row too.  record() scans what the ledger lacks and appends it, and findings come from the ledger alone, so a later version of the
+texts costs a scan of its new blobs, and a rule of a new version a scan by that rule.
+
 Defined cases: a null text is empty; a null id is kept; each row of the input gives one row; extra columns are not
 read; an empty table gives an empty result.
 """
@@ -13,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -77,13 +81,39 @@ def scan(found: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame |
     return found.select("blob", F.explode(entries).alias("e")).select("blob", "e.*")
 
 
+def opened(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger at path, or none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+        return None
+    return spark.read.schema(f"blob string, kind string, version int, spans {SPAN}").parquet(path)
+
+
+def record(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
+    """Scans the blobs and rule versions that the ledger at path lacks, appends what was found, and returns the ledger."""
+    spark = docs.sparkSession
+    scan(blobs(docs, text_col=text_col), rules, opened(spark, path)).write.mode("append").parquet(path)
+    return opened(spark, path)
+
+
+def recorded(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, blob and spans of every row of docs, as findings() gives them, from a ledger that holds all of its blobs."""
+    current = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+    held = ledger.where(F.array_contains(current, F.concat_ws(":", "kind", F.col("version").cast("string"))) & (F.size("spans") > 0))
+    return _joined(docs, held, id_col, text_col)
+
+
 def findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, blob and spans (by start, then kind as listed) of every row of docs; spans is empty where nothing is found."""
     new = scan(blobs(docs, text_col=text_col), rules, ledger)
     if ledger is not None:
         current = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
         new = new.unionByName(ledger.where(F.array_contains(current, F.concat_ws(":", "kind", F.col("version").cast("string")))).select(*new.columns))
-    held = new.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return _joined(docs, new.where(F.size("spans") > 0), id_col, text_col)
+
+
+def _joined(docs: DataFrame, held: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    held = held.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))  # a row a rule
     order = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], F.signum(a["start"] - b["start"])).otherwise(F.signum(a["rank"] - b["rank"])).cast("int"))
     rows = docs.select(docs[id_col].alias("_id"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("blob"))
     return rows.join(held, "blob", "left").select(F.col("_id").alias(id_col), "blob", F.coalesce(order, F.array().cast(SPAN)).alias("spans"))
@@ -98,16 +128,15 @@ def report(found: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "
 
 def redact(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced; overlapping spans are replaced together.  found: rows of findings(), once for each blob."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    text, start = F.col("row")[text_col], F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        kept = F.substring(F.col("_t"), (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
+        kept = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(x["start"] - acc["at"], F.lit(0)).cast("int"))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate("_spans", start, step)
-    whole = F.concat(done["out"], F.substring(F.col("_t"), (done["at"] + 1).cast("int"), F.length("_t")))
-    by_blob = found.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans"))
-    src = docs.withColumn("_t", F.col(text_col)).withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    joined = src.join(by_blob, src["_blob"] == by_blob["blob"], "left")
-    text = F.when(F.col("_spans").isNull(), F.col("_t")).otherwise(whole)
-    return joined.select(*[text.alias(c) if c == text_col else src[c] for c in docs.columns])
+    done = F.aggregate("spans", start, step)
+    whole = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
+    by_blob = found.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256).alias("blob"))
+    new = F.when(F.col("spans").isNull(), text).otherwise(whole)
+    return rows.join(by_blob, "blob", "left").select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from gleaner.llm import byte_bpe, mixing, secrets, token_store
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -187,3 +188,38 @@ def test_pipeline_ids_are_held_against_the_text(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(P, "PATTERN", "[a-z]+")  # finds no spaces, so the ids lack them
     with pytest.raises(Exception, match="do not decode to its text"):
         corpus_pipeline.token_ids(spark, odd_docs, "").collect()
+
+
+def test_ledger_scans_unseen_blobs_only(spark, odd_docs, tmp_path):
+    path = str(tmp_path / "ledger")
+    ledger = secrets.record(odd_docs, path)
+    seen = ledger.count()
+    assert seen == 3 * secrets.blobs(odd_docs).count()
+    want = sorted(map(str, secrets.findings(odd_docs).collect()))
+    assert sorted(map(str, secrets.recorded(odd_docs, ledger).collect())) == want
+    assert secrets.record(odd_docs, path).count() == seen
+    later = odd_docs.unionByName(odd_docs.limit(1).withColumn("text", F.lit("now token = abcdefgh")))
+    assert secrets.record(later, path).count() == seen + 3
+    rules = (secrets.Rule("hex", "[0-9a-f]{30,}", 0, 30, version=2),)
+    assert secrets.record(later, path, rules).count() == seen + 3 + (seen + 3) // 3
+    assert sum(len(r.spans) for r in secrets.recorded(later, secrets.opened(spark, path), rules).collect()) == 2  # the runs of a and b
+
+
+def test_clashing_columns(spark):
+    from gleaner.llm import jaccard_join
+
+    names = ["_spans", "_t", "_blob", "_times", "_copy", "_size", "_id", "_body", "id", "size", "row", "blob", "spans", "body", "count", "n"]
+    docs = spark.createDataFrame([(k, f"a b c d e password = hunter22 {k // 2}", "en", f"s{k % 2}", 9, *["z"] * len(names)) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    clean = secrets.redact(docs, secrets.findings(docs))
+    assert clean.columns == docs.columns and not clean.where("text like '%hunter%' or _t <> 'z'").count() and clean.count() == 6
+    assert mixing.drawn(docs, mixing.mix(docs)).columns == docs.columns
+    kept = jaccard_join.representatives(docs, jaccard_join.join(docs))
+    assert kept.columns == docs.columns and 0 < kept.count() <= 6
+
+
+def test_equal_rows_are_taken_singly(spark):
+    rows = [(1, "w " * 10, f"s{k % 2}") for k in range(8)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in {r.target for r in got}:
+        mine = [r for r in got if r.target == source]
+        assert abs(sum(r.taken for r in mine) - source) <= 5
