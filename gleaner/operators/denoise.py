@@ -66,7 +66,7 @@ def flat_yaml(text: str) -> str:
                 depth -= 1
         data = yaml.safe_load(text)
         return text if data is None else yaml.safe_dump(data, sort_keys=False, default_flow_style=True, allow_unicode=True).strip()
-    except yaml.YAMLError:
+    except (yaml.YAMLError, ValueError, RecursionError):  # as of a date that no calendar has
         return text
 
 

@@ -12,6 +12,7 @@ from ..sources.tables import STRUCTURED
 GOALS = ("selective_read", "cross_file_evidence", "structured_compute", "edit_or_execute", "full_fidelity")
 CODE = ("py", "sh", "toml", "ini", "cfg", "conf")
 TEXT = ("text", "pdf", "html")
+TABULAR = ("csv", "tsv", "xls", "xlsx")
 FLOOR, TEXT_FLOOR = 1024, 4096
 
 
@@ -43,9 +44,9 @@ def objects(found: DataFrame, *keep: str) -> DataFrame:
 
 
 def measured(items: DataFrame, by: str) -> DataFrame:
-    """by, n, n_bytes, n_text, n_structured, n_tabular, n_code, n_log.  items: kind and size of files."""
+    """by, n, n_bytes, n_text, n_structured, n_tabular, n_code, n_log, n_kinds.  items: kind and size of files."""
     one = lambda *k: F.count_if(F.col("kind").isin(*k))
-    return items.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"), one("text").alias("n_text"), one("csv", "json", "yaml", "xml").alias("n_structured"), one("csv").alias("n_tabular"), one("code").alias("n_code"), one("log").alias("n_log"))
+    return items.groupBy(by).agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"), one(*TEXT, "md", "eml").alias("n_text"), one(*TABULAR, "json", "yaml", "xml").alias("n_structured"), one(*TABULAR).alias("n_tabular"), one("code").alias("n_code"), one("log").alias("n_log"), F.count_distinct("kind").alias("n_kinds"))
 
 
 def collections(found: DataFrame, *keep: str) -> DataFrame:
@@ -55,7 +56,7 @@ def collections(found: DataFrame, *keep: str) -> DataFrame:
     plan = (c("n") >= 5) & (c("n_structured") >= 3) & (c("n_bytes") >= 20_000) & (c("n_text") + c("n_structured") + c("n_code") >= 4)
     edit = (goal == "edit_or_execute") & (c("n_tabular") >= 3) & (c("n_structured") * 2 > c("n")) & (c("n_log") == 0)
     only = c("n_structured") == c("n")
-    mixed = (c("n_text") > 0).cast("int") + (c("n_structured") > 0).cast("int") + (c("n_code") > 0).cast("int") + (c("n_log") > 0).cast("int") > 1
+    mixed = c("n_kinds") > 1
     rules = F.when(c("n") == 0, _told("native", "empty_collection", 1.0))
     rules = rules.when(goal == "full_fidelity", _told("native", "native_full_fidelity", 0.95))
     rules = rules.when(plan & ((goal == "structured_compute") | edit), _told("force", "structured_analysis_plan", 0.88))
@@ -63,6 +64,6 @@ def collections(found: DataFrame, *keep: str) -> DataFrame:
     rules = rules.when(goal == "structured_compute", _told("native", "native_small_structured_compute", 0.9))
     rules = rules.when((goal == "cross_file_evidence") & (c("n") >= 3) & (c("n_bytes") >= 8_192) & ~only & (sources >= 3), _told("force", "multi_file_evidence", 0.9))
     rules = rules.when(goal == "cross_file_evidence", _told("advisory", "multi_file_evidence_boundary", 0.68))
-    rules = rules.when((c("n_text") * 2 > c("n")) & ((c("n_bytes") >= 24_576) | (c("n") >= 8)), _told("advisory", "large_text_collection_boundary", 0.72))
+    rules = rules.when((c("n_text") >= F.greatest(F.lit(3), F.floor((c("n") + 1) / 2))) & ((c("n_bytes") >= 24_576) | (c("n") >= 8)), _told("advisory", "large_text_collection_boundary", 0.72))
     rules = rules.when(mixed | (c("n_bytes") >= 8_192) | (c("n") >= 3), _told("advisory", "collection_goal_required", 0.62))
     return _flat(found, rules.otherwise(_told("native", "small_collection", 0.9)), *keep)

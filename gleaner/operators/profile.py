@@ -36,13 +36,21 @@ def melted(df: DataFrame) -> DataFrame:
     return df.select(F.explode(cells).alias("c")).select("c.*")
 
 
+#: Spellings of whole numbers and numbers; what holds a date.
+WHOLE, DECIMAL, DATED = "^[-+]?[0-9]+$", "^[-+]?([0-9]+[.][0-9]+|[0-9]+)$", r"\b[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}\b"
+
+
 def column_types(df: DataFrame) -> DataFrame:
-    """name, type, n_rows, n_distinct of every column by its values' spelling."""
-    v = F.col("value")
-    full = v.isNotNull() & (v != "")
-    every = lambda p: F.coalesce(F.bool_and(F.when(full, v.rlike(p))), F.lit(False))
-    kind = F.when(every("^-?[0-9]+$"), "integer").when(every("^-?[0-9]+([.][0-9]+)?([eE]-?[0-9]+)?$"), "number").when(every("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), "date").otherwise("string")
-    return melted(df).groupBy("name").agg(kind.alias("type"), F.count("*").alias("n_rows"), F.count(F.when(full, 1)).alias("n_filled"))
+    """name, type, n_rows, n_filled of every column by its values' spelling, in one pass: empty where no value is filled."""
+
+    def told(c: str) -> Column:
+        v = F.trim(F.col(c).cast("string"))
+        full = v.isNotNull() & (v != "")
+        every = lambda p: F.bool_and(F.when(full, v.rlike(p)))
+        kind = F.when(F.count_if(full) == 0, "empty").when(every(WHOLE), "integer").when(every(DECIMAL), "number").when(every(DATED), "date").otherwise("string")
+        return F.struct(F.lit(c).alias("name"), kind.alias("type"), F.count("*").alias("n_rows"), F.count_if(full).alias("n_filled"))
+
+    return df.agg(F.array(*[told(c) for c in df.columns]).alias("c")).select(F.explode("c").alias("c")).select("c.*")
 
 
 def rare_values(df: DataFrame) -> DataFrame:
@@ -51,16 +59,26 @@ def rare_values(df: DataFrame) -> DataFrame:
     return once.select("name", "value", F.lower("value").rlike(ERROR_LIKE).alias("error_like"))
 
 
+#: A time at a line's start, a tag after it, levels as words.
+CLOCK = r"^\s*[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:[.,][0-9]+)?\s*"
+TAG, LEVEL = r"^\s*\[[^\]]*\]\s*", r"(?i)\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b"
+
+
 def signature(line: Column) -> Column:
-    x = F.regexp_replace(line, STAMP, "")
-    x = F.regexp_replace(x, "0x[0-9a-fA-F]+", "0x<hex>")
-    return F.substring(F.regexp_replace(x, "[0-9]{4,}", "<num>"), 1, 180)
+    x = F.regexp_replace(F.regexp_replace(line, CLOCK, ""), TAG, "")
+    x = F.regexp_replace(F.regexp_replace(x, r"\b0x[0-9a-fA-F]+\b", "0x<hex>"), r"\b[0-9]{4,}\b", "<num>")
+    return F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 180)
+
+
+def level(line: Column) -> Column:
+    """The first level that a line names as a word, in capitals; WARNING is WARN."""
+    found = F.upper(F.regexp_extract(line, LEVEL, 1))
+    return F.when(found == "WARNING", "WARN").otherwise(found)
 
 
 def severities(log: DataFrame, k: int = 8) -> DataFrame:
     """kind, value, n: counts of levels, and of the k most frequent signatures that occur more than once."""
-    level = F.regexp_extract("line", "(DEBUG|INFO|WARN|ERROR|FATAL|CRITICAL)", 1)
-    levels = log.groupBy(level.alias("value")).agg(F.count("*").alias("n")).where("value <> ''").select(F.lit("level").alias("kind"), "value", "n")
+    levels = log.groupBy(level(F.col("line")).alias("value")).agg(F.count("*").alias("n")).where("value <> ''").select(F.lit("level").alias("kind"), "value", "n")
     signs = log.groupBy(signature(F.col("line")).alias("value")).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "value").limit(k)
     return levels.unionByName(signs.select(F.lit("signature").alias("kind"), "value", "n"))
 
@@ -102,5 +120,6 @@ def row_match(df: DataFrame, terms: list[str], k: int = 40) -> DataFrame:
 def hinted(columns: list[str], terms: list[str]) -> list[str]:
     """Columns that a term names (either holds the other, letters and digits alone); all of them if none is named."""
     plain = lambda s: "".join(c for c in s.lower() if c.isalnum())
-    found = [c for c in columns if any(plain(t) in plain(c) or plain(c) in plain(t) for t in terms)]
+    named = [t for t in map(plain, terms) if t]
+    found = [c for c in columns if any(t in plain(c) or plain(c) in t for t in named)]
     return found or columns

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..operators import denoise, evidence, gate, items, profile, segments, slots, units, usage
+from ..operators import denoise, evidence, extract, gate, items, profile, relevance, segments, slots, units, usage
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,10 +167,10 @@ def number_extract(s, d):
 
 
 def _types(table: str) -> str:
-    every = lambda p: f"coalesce(bool_and(CASE WHEN value IS NOT NULL AND value <> '' THEN regexp_matches(value, '{p}') END), false)"
-    return f"""WITH m AS (SELECT name, value FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {table}) UNPIVOT INCLUDE NULLS (value FOR name IN (*)))
-SELECT name, CASE WHEN {every('^-?[0-9]+$')} THEN 'integer' WHEN {every('^-?[0-9]+([.][0-9]+)?([eE]-?[0-9]+)?$')} THEN 'number' WHEN {every('^[0-9]{4}-[0-9]{2}-[0-9]{2}')} THEN 'date' ELSE 'string' END AS type,
-count(*) AS n_rows, count(CASE WHEN value IS NOT NULL AND value <> '' THEN 1 END) AS n_filled FROM m GROUP BY name"""
+    every = lambda p: f"bool_and(regexp_matches(v, '{p}')) FILTER (v <> '')"
+    return f"""WITH m AS (SELECT name, trim(value) AS v FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {table}) UNPIVOT INCLUDE NULLS (value FOR name IN (*)))
+SELECT name, CASE WHEN count(*) FILTER (v <> '') = 0 THEN 'empty' WHEN {every('^[-+]?[0-9]+$')} THEN 'integer' WHEN {every('^[-+]?([0-9]+[.][0-9]+|[0-9]+)$')} THEN 'number'
+WHEN {every('[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}')} THEN 'date' ELSE 'string' END AS type, count(*) AS n_rows, count(*) FILTER (v <> '') AS n_filled FROM m GROUP BY name"""
 
 
 @query(_types("orders"))
@@ -177,14 +178,21 @@ def column_types(s, d):
     return profile.column_types(tables.table(s, d, "orders"))
 
 
+@query(_types("customer"))
+def column_types_customer(s, d):
+    return profile.column_types(tables.table(s, d, "customer"))
+
+
 @query(f"""WITH m AS (SELECT name, value FROM (SELECT s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier) UNPIVOT (value FOR name IN (*)))
 SELECT name, value, regexp_matches(lower(value), '{profile.ERROR_LIKE}') AS error_like FROM m GROUP BY name, value HAVING count(*) = 1""")
 def rare_values(s, d):
     return profile.rare_values(tables.table(s, d, "supplier").select("s_name", "s_nationkey"))
 
 
-@query(f"""WITH {LOG}, signs AS (SELECT regexp_replace(regexp_replace(regexp_replace(line, {STAMP}, ''), '0x[0-9a-fA-F]+', '0x<hex>', 'g'), '[0-9]{{4,}}', '<num>', 'g') AS value, count(*) AS n FROM lines GROUP BY 1 HAVING count(*) > 1)
-SELECT 'level' AS kind, regexp_extract(line, '(DEBUG|INFO|WARN|ERROR|FATAL|CRITICAL)', 1) AS value, count(*) AS n FROM lines GROUP BY 2
+@query(rf"""WITH {LOG}, bare AS (SELECT line, regexp_replace(regexp_replace(line, '^\s*\d{{4}}[-/]\d\d[-/]\d\d[ T]\d\d:\d\d:\d\d([.,]\d+)?\s*', ''), '^\s*\[[^\]]*\]\s*', '') AS x FROM lines),
+signs AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(x, '\b0x[0-9a-fA-F]+\b', '0x<hex>', 'g'), '\b\d{{4,}}\b', '<num>', 'g'), '\s+', ' ', 'g')) AS value, count(*) AS n FROM bare GROUP BY 1 HAVING count(*) > 1),
+named AS (SELECT upper(regexp_extract(line, '(?i)\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|CRITICAL|FATAL)\b', 1)) AS l FROM lines)
+SELECT 'level' AS kind, CASE l WHEN 'WARNING' THEN 'WARN' ELSE l END AS value, count(*) AS n FROM named WHERE l <> '' GROUP BY 2
 UNION ALL (SELECT 'signature', value, n FROM signs ORDER BY n DESC, value LIMIT 8)""")
 def severity_counts(s, d):
     return profile.severities(_log(s, d))
@@ -307,3 +315,58 @@ def document_items(s, d):
 SELECT event_id, CAST(i AS INT) AS idx, '$.' || key AS path, json_extract_string(props, '$.' || key) AS value FROM e""")
 def props_paths(s, d):
     return items.key_paths(tables.table(s, d, "events"), "event_id", "props")
+
+
+#: Non-blank lines of the rendered orders with the heading above them.
+UNITS = f"""{ORDERS}, u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS idx, {ANCHOR} AS anchor, line AS text,
+last_value(CASE WHEN regexp_matches(line, '^#+ ') THEN regexp_replace(line, '^#+ ', '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx) AS heading FROM lines WHERE trim(line) <> ''),
+hay AS (SELECT *, lower(coalesce(heading, '') || chr(10) || text) AS hay FROM u)"""
+URGENT = relevance.Request("status of urgent orders", ("STATUS: F", "1-URGENT", "total 5-LOW"), ("1-URGENT",), "fact")
+FIRST_URGENT = relevance.Request("the section of urgent orders", ("PRIORITY: 1-URGENT",))
+_HAS = lambda t, n: f"CASE WHEN contains(hay, '{t}') THEN {n} ELSE 0 END"
+BEST = f"""{UNITS}, scored AS (SELECT *, CAST({' + '.join([_HAS('status: f', 2), _HAS('1-urgent', 4), _HAS('total 5-low', 2), _HAS('1-urgent', 4), _HAS('status', 2), _HAS('urgent', 2), _HAS('orders', 2)])} AS DOUBLE)
++ CASE WHEN regexp_matches(text, '\\b[0-9]+([.,][0-9]+)?\\b') THEN 0.8 ELSE 0 END + CASE WHEN regexp_matches(text, '^\\s*([-*]|[0-9]+[.)])\\s+\\S') THEN 0.4 ELSE 0 END + 0.3 AS score FROM hay),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 4) DESC, idx) AS rank FROM scored)"""
+
+
+def _units(s, d):
+    line = F.col("line")
+    by = W.partitionBy("doc_id").orderBy("idx")
+    found = units.lines(_orders(s, d)).where(F.trim("line") != "")
+    heading = F.last(F.when(line.rlike("^#+ "), F.regexp_replace(line, "^#+ ", "")), ignorenulls=True).over(by)
+    return found.select("doc_id", (F.row_number().over(by) - 1).cast("long").alias("idx"), units.anchor(F.col("idx"), F.col("idx")).alias("anchor"), line.alias("text"), heading.alias("heading"))
+
+
+def _best(s, d):
+    return relevance.best(relevance.scored(_units(s, d), URGENT).withColumn("score", F.round("score", 4)), 5)
+
+
+@query(f"WITH {BEST} SELECT doc_id, rank, anchor, text, round(score, 4) AS score FROM best WHERE rank <= 5")
+def unit_scores(s, d):
+    return _best(s, d).select("doc_id", "rank", "anchor", "text", "score")
+
+
+@query(f"""WITH {BEST}, e AS (SELECT doc_id, lower(string_agg(text, chr(10))) AS t FROM best WHERE rank <= 5 GROUP BY doc_id)
+SELECT doc_id, needle FROM e, (VALUES ('STATUS: F'), ('1-URGENT'), ('total 5-LOW')) n(needle)
+WHERE NOT (contains(t, lower(needle)) OR CASE needle WHEN 'STATUS: F' THEN contains(t, 'status:') WHEN 'total 5-LOW' THEN contains(t, 'total') AND contains(t, '5-low') ELSE false END)""")
+def unresolved_evidence(s, d):
+    return relevance.unresolved(_best(s, d), URGENT)
+
+
+@query(f"WITH {UNITS} SELECT doc_id, idx + 1 AS rank, anchor, text, CAST(0.2 AS DOUBLE) AS score FROM u WHERE idx < 3")
+def unit_overview(s, d):
+    return relevance.overview(_units(s, d))
+
+
+@query(f"""WITH {UNITS}, n AS (SELECT *, min(CASE WHEN contains(hay, 'priority: 1-urgent') THEN idx END) OVER (PARTITION BY doc_id) AS start FROM hay),
+c AS (SELECT *, idx - start AS o, sum(length(anchor) + length(text) + 32) OVER (PARTITION BY doc_id ORDER BY idx) AS used FROM n WHERE idx BETWEEN start AND start + 9)
+SELECT doc_id, idx, anchor, text, round(CASE WHEN o = 0 THEN 8.0 ELSE greatest(1.0, 7.0 - o * 0.4) END::DOUBLE, 4) AS score FROM c WHERE used <= 400 OR o = 0""")
+def unit_section(s, d):
+    return relevance.section(_units(s, d), FIRST_URGENT, 400).withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH {ORDERS}, asked AS (SELECT doc_id, unnest({list(SLOTS)!r}) AS slot FROM rendered), f AS (SELECT doc_id, idx, {ANCHOR} AS anchor, split_part(line, ': ', 1) AS slot, regexp_replace(line, '^[A-Z]+: ', '') AS value FROM lines WHERE regexp_matches(line, '^[A-Z]+: ')),
+a AS (SELECT doc_id, slot, arg_min(value, idx) AS value, arg_min(anchor, idx) AS anchor FROM f GROUP BY doc_id, slot)
+SELECT doc_id, slot, 'resolved' AS status, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS value, anchor, CAST(0.99 AS DOUBLE) AS confidence FROM asked JOIN a USING (doc_id, slot)""")
+def slot_collect(s, d):
+    return extract.collected(_units(s, d), [extract.Slot(n) for n in SLOTS])
