@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import byte_bpe, jaccard_join, kneser_ney, mixing, secrets
-from gleaner.llm.shared import discard, free_shuffles, stored, work_folder
+from gleaner.llm.shared import discard, free_shuffles, shrink_heaps, stored, work_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,6 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (of the smallest id) of each group linked by shingles of five words at a similarity of 0.8."""
+    shrink_heaps(spark)
     return jaccard_join.representatives(docs, jaccard_join.join(docs, n=5, least=80))
 
 
@@ -48,6 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every row; the ids are decoded again, and a row whose text they do not give back ends the job."""
+    shrink_heaps(spark)
     ids = byte_bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, held=True)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -18,6 +18,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from .kernel import give_back, places, span_hashes
 
 #: Words contracted at once, rows that a recursion may hold, words kept, characters of texts in a block, ids decoded at once.
-WORDS_AT_ONCE, MOST_ROWS, CACHE_WORDS, BLOCK_CHARS, IDS_AT_ONCE = 20_000, 4_000_000, 1_500_000, 1_500_000, 400_000
+WORDS_AT_ONCE, MOST_ROWS, CACHE_WORDS, BLOCK_CHARS, IDS_AT_ONCE = 8_000, 800_000, 1_000_000, 600_000, 150_000
 
 #: chain: places of equal pairs that overlap; every second one of such a run is taken, from the left.
 ENCODE = """
@@ -70,17 +71,25 @@ class Coder:
                     keys.append(a * 65536 + b)
                     merged.append(r)
                     early.update(x for x in (a, b) if x > r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.db.register("merge_rows", pa.table({"k": pa.array(keys, pa.int64()), "m": pa.array(merged, pa.int64()), "alone": [r in early for r in merged]}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
         ids = sorted(self.ranks.values())
         of = {r: t for t, r in self.ranks.items()}
         # a byte of a token is the character of that number
-        self.db.register("token_rows", pa.table({"id": pa.array(ids, pa.int32()), "piece": [of[r].decode("latin-1") for r in ids]}))
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM token_rows")
+        flush = {"allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"}  # freed memory goes back at once
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", **flush})
+        for name, table in (
+            ("merges", pa.table({"k": pa.array(keys, pa.int64()), "m": pa.array(merged, pa.int64()), "alone": [r in early for r in merged]})),
+            ("vocabulary", pa.table({"id": pa.array(ids, pa.int32()), "piece": [of[r].decode("latin-1") for r in ids]})),
+        ):
+            self.db.register("rows_of_it", table)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_of_it")
+            self.db.unregister("rows_of_it")
         self.ids, self.decimals = np.array(ids), pa.array([str(r) for r in range(max(ids) + 1)])
         self.clear()
 
+    def close(self) -> None:
+        self.db.close()
+        self.clear()
+
     def clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint16)
@@ -179,13 +188,16 @@ class Coder:
         return out
 
 
-_coders: dict[tuple[str, str], Coder] = {}
-
-
-def coder(path: str, pattern: str) -> Coder:
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+@contextlib.contextmanager
+def coder(path: str, pattern: str) -> Iterator[Coder]:
+    """A coder for one task: workers live on beside others, and the next task's words are mostly new ones."""
+    c = Coder(path, pattern)
+    try:
+        yield c
+    finally:
+        c.close()
+        del c
+        give_back()
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -210,23 +222,26 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id",
     Every row's ids are decoded and held against its words, with held also against its text; a difference ends the job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(ranks, pattern)
-        for batch in batches:
-            for at, texts in _blocks(batch.column("text")):
-                names = batch.column("id").slice(at, len(texts))
-                ids, starts, raw, cuts = c.encode(texts)
-                back = c.decode(ids, starts)
-                for i, x in enumerate(back):
-                    if x != raw[cuts[i] : cuts[i + 1]] or held and x != texts[i].encode():
-                        raise ValueError(f"the ids of document {names[i]} do not decode to its text")
-                lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
-                if digest:
-                    joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, c.decimals.take(lists.values)), ",")
-                    sums = [hashlib.sha256(joined[i].as_buffer() or b"").hexdigest() for i in range(len(texts))]
-                    yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(starts)), pa.array(sums), pa.array([hashlib.sha256(x).hexdigest() for x in back])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                else:
-                    yield pa.RecordBatch.from_arrays([names, lists], names=["id", "ids"])
-            give_back()
+        with coder(ranks, pattern) as c:
+            for batch in batches:
+                yield from coded(c, batch)
+                give_back()
+
+    def coded(c: Coder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, texts in _blocks(batch.column("text")):
+            names = batch.column("id").slice(at, len(texts))
+            ids, starts, raw, cuts = c.encode(texts)
+            back = c.decode(ids, starts)
+            for i, x in enumerate(back):
+                if x != raw[cuts[i] : cuts[i + 1]] or held and x != texts[i].encode():
+                    raise ValueError(f"the ids of document {names[i]} do not decode to its text")
+            lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids, pa.int32()))
+            if digest:
+                joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, c.decimals.take(lists.values)), ",")
+                sums = [hashlib.sha256(joined[i].as_buffer() or b"").hexdigest() for i in range(len(texts))]
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(starts)), pa.array(sums), pa.array([hashlib.sha256(x).hexdigest() for x in back])], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            else:
+                yield pa.RecordBatch.from_arrays([names, lists], names=["id", "ids"])
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return src.mapInArrow(run, DIGEST if digest else "id long, ids array<int>").withColumnRenamed("id", id_col)
@@ -236,12 +251,12 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_i
     """The id and the decoded bytes of every row of ids (null ids: no bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(ranks, pattern)
-        for b in batches:
-            lists = b.column("ids")
-            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(c.decode(lists.flatten().to_numpy(zero_copy_only=False), starts), pa.binary())], names=["id", "bytes"])
+        with coder(ranks, pattern) as c:
+            for b in batches:
+                lists = b.column("ids")
+                size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(c.decode(lists.flatten().to_numpy(zero_copy_only=False), starts), pa.binary())], names=["id", "bytes"])
 
     src = encoded.select(encoded[id_col].cast("long").alias("id"), encoded[ids_col].cast("array<int>").alias("ids"))
     return src.mapInArrow(run, "id long, bytes binary").withColumnRenamed("id", id_col)

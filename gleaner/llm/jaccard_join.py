@@ -44,6 +44,8 @@ MOST_IDS = 1_000_000
 #: Turns of pivots before the rest is compared pair by pair; a list's pivots; those of a set's that it is compared with in a turn.
 TURNS, PIVOTS, LIKELY = 2, 32, 32
 LONG_LIST, BITS = 48, 256
+#: Bytes of texts in a block of the index.
+BLOCK_BYTES = 8 << 20
 #: Pairs of a set and a block, or of two sets, that are held at once; groups of a list that are blocks of their own.
 AT_ONCE, APART = 1 << 20, 32
 
@@ -96,9 +98,9 @@ def survey(rows: DataFrame, n: int) -> DataFrame:
             sets = sets_of(data, offsets, n)
             names = [digest(s) for s in sets]
             once = {d: s for d, s in zip(names, sets, strict=True)}
-            cells = np.zeros(CELLS, np.int64)
+            cells = np.zeros(CELLS, np.uint32)
             if once:
-                cells += np.bincount((np.concatenate([*once.values()]) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                cells = np.bincount((np.concatenate([*once.values()]) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             k = len(ids)
             parts = [pack(x.astype(np.uint32)) for x in np.split(cells, SLICES)]
             yield frame(
@@ -128,7 +130,7 @@ def postings(rows: DataFrame, order: np.ndarray, n: int, least: int) -> DataFram
     k = shards(rows.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, (_, data, offsets, _) in zip(block_names(), text_blocks(batches), strict=False):
+        for name, (_, data, offsets, _) in zip(block_names(), text_blocks(batches, limit=BLOCK_BYTES), strict=False):
             once = {digest(s)[:8]: s for s in sets_of(data, offsets, n)}
             grams, names, sizes, places = [], [], [], []
             for d, s in once.items():

@@ -40,8 +40,8 @@ LEAST_HELD_OUT = 30
 TRAIN, TRIAL = 1, 2
 #: Documents are scored in so many rounds, by runs of 2 ** RUN ids, so that neighbours in a file share a block.
 ROUNDS, RUN = 4, 14
-#: Bytes of texts in a block of what is asked: a word takes several numbers there.
-ASK_BYTES = 10 << 20
+#: Bytes of texts in a block: a word takes several numbers there.
+ASK_BYTES = 8 << 20
 #: What a shard reads, in this order: counts of pairs, what their words' shards know of the words, its own words, what blocks ask, blocks' documents.
 PAIRS, REPLY, WORDS, ASK, HEAD, ABOUT = range(6)
 #: The word before the first and after the last one.
@@ -146,7 +146,7 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
     taught = rows.where(F.col("role") == TRAIN).select("id", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, (_, data, offsets, _) in zip(block_names(), text_blocks(batches), strict=False):
+        for name, (_, data, offsets, _) in zip(block_names(), text_blocks(batches, limit=ASK_BYTES), strict=False):
             a, b, _, _ = neighbours(data, offsets)
             key, at, c = np.unique(pair_keys(a, b), return_index=True, return_counts=True)
             a, b, shard = a[at], b[at], key % np.uint64(n)

@@ -54,6 +54,12 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Lets the executors collect garbage, after which their heaps give memory back to the Python workers beside them."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
