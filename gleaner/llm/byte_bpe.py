@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .kernel import give_back, places, span_hashes
 
 #: Words contracted at once, rows that a recursion may hold, words kept, characters of texts in a block, ids decoded at once.
-WORDS_AT_ONCE, MOST_ROWS, CACHE_WORDS, BLOCK_CHARS, IDS_AT_ONCE = 8_000, 800_000, 1_000_000, 600_000, 150_000
+WORDS_AT_ONCE, MOST_ROWS, CACHE_WORDS, BLOCK_CHARS, IDS_AT_ONCE = 20_000, 2_000_000, 1_000_000, 1_000_000, 250_000
 
 #: chain: places of equal pairs that overlap; every second one of such a run is taken, from the left.
 ENCODE = """
@@ -74,21 +74,29 @@ class Coder:
         ids = sorted(self.ranks.values())
         of = {r: t for t, r in self.ranks.items()}
         # a byte of a token is the character of that number
-        flush = {"allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"}  # freed memory goes back at once
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", **flush})
-        for name, table in (
-            ("merges", pa.table({"k": pa.array(keys, pa.int64()), "m": pa.array(merged, pa.int64()), "alone": [r in early for r in merged]})),
-            ("vocabulary", pa.table({"id": pa.array(ids, pa.int32()), "piece": [of[r].decode("latin-1") for r in ids]})),
-        ):
-            self.db.register("rows_of_it", table)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_of_it")
-            self.db.unregister("rows_of_it")
+        self.tables = {
+            "merges": pa.table({"k": pa.array(keys, pa.int64()), "m": pa.array(merged, pa.int64()), "alone": [r in early for r in merged]}),
+            "vocabulary": pa.table({"id": pa.array(ids, pa.int32()), "piece": [of[r].decode("latin-1") for r in ids]}),
+        }
+        self.open_db: duckdb.DuckDBPyConnection | None = None
         self.ids, self.decimals = np.array(ids), pa.array([str(r) for r in range(max(ids) + 1)])
         self.clear()
 
-    def close(self) -> None:
-        self.db.close()
-        self.clear()
+    @property
+    def db(self) -> duckdb.DuckDBPyConnection:
+        if self.open_db is None:
+            self.open_db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": "", "allocator_flush_threshold": "32MB"})
+            for name, table in self.tables.items():
+                self.open_db.register("rows_of_it", table)
+                self.open_db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_of_it")
+                self.open_db.unregister("rows_of_it")
+        return self.open_db
+
+    def rest(self) -> None:
+        if self.open_db is not None:
+            self.open_db.close()
+            self.open_db = None
+        give_back()
 
     def clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -188,16 +196,19 @@ class Coder:
         return out
 
 
+_coders: dict[tuple[str, str], Coder] = {}
+
+
 @contextlib.contextmanager
 def coder(path: str, pattern: str) -> Iterator[Coder]:
-    """A coder for one task: workers live on beside others, and the next task's words are mostly new ones."""
-    c = Coder(path, pattern)
+    """A coder for one task.  Between a worker's tasks only the words met are kept, as workers live on beside others."""
+    if (path, pattern) not in _coders:
+        _coders[path, pattern] = Coder(path, pattern)
+    c = _coders[path, pattern]
     try:
         yield c
     finally:
-        c.close()
-        del c
-        give_back()
+        c.rest()
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
