@@ -1,17 +1,22 @@
 """Toxicity by non-negative positive-unlabelled learning (operator 6).
 
-The learner sees confirmed toxic documents (P) and documents without a label (U), never confirmed clean ones as such.
-With the class prior pi, taken from the labelled rows it may learn from, the risk of a linear score f is
+The learner sees confirmed toxic documents (P) and the texts of all learnable documents without their labels (U, the marginal),
+never confirmed clean ones as such.  With the class prior pi, taken from the labelled rows it may learn from, the risk of a linear
+score f is
     pi E_P[l(f)] + max(0, E_U[l(-f)] - pi E_P[l(-f)]),
 with logistic loss l; where the corrected negative part falls below zero its gradient is reversed, so that the
 learner cannot profit from over-fitting U.  Features are the words of a text and their beginnings, by hash, without case or
 punctuation, with the logarithm of their count, and the length; those that P holds clearly more often than U are kept.
 
-Fitting reads a bounded sample by hash of the id: at most SAMPLE_P and SAMPLE_U documents.  Scoring reads every whole text
-of every document, in one pass and without a shuffle.
+P is a sample by hash of the id, of at most SAMPLE_P labelled rows; it is the one bound on what is read.  U is every
+document: its document frequencies are summed by tasks over the features that P's documents hold, its feature rows are written
+once (equal ones as one row with their number), and each of the ROUNDS steps sums the loss and the gradient over them in tasks.
+The driver holds P's feature rows and one number a feature.  Scoring reads every whole text in one pass without a shuffle.
 
-Defined cases: null and empty texts are scored by the intercept alone; a null id is never learned from and is not held
-out; repeated rows give one row each; without any confirmed example all scores are 0; labels that are null are no labels.
+Defined cases: null and empty texts are scored by length 0 and the intercept; a null id is never learned from and is not held
+out; repeated rows count as often as they occur and give one row each; ties of features go to the smaller hash; without any
+confirmed example, and so with empty tables, all scores are 0; labels that are null are no labels; a very long text is one
+value; columns other than the id, the text and the label are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import chunks, stems, text_buffers
-from .shared import stored
+from .shared import discard, stored
 
-SAMPLE_P, SAMPLE_U, FEATURES = 5_000, 20_000, 2_048
+SAMPLE_P, FEATURES, ROUNDS, STEP = 5_000, 2_048, 100, 0.1
 THRESHOLD = 0.7
+#: Sums over U are added as whole numbers of this fraction, so that the order of the tasks does not matter.
+UNIT = 2.0**-24
 
 
 STEMS = (5, 6, 7, 8, 10)
@@ -73,97 +80,151 @@ def fold(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def chosen(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """Ids of the confirmed and of the unlabelled documents to learn from, and the prior.  Only ids are shuffled."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    mine = known.where(fold("doc_id") != 1)
+def confirmed(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """doc_id and text of the confirmed documents to learn from, written, and the prior."""
+    mine = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(fold("doc_id") != 1)
     prior = mine.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"]
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    p = mine.where("toxic = 1").select("doc_id").distinct().orderBy(*order).limit(SAMPLE_P)
-    u = docs.select("doc_id").where(fold("doc_id") != 1).distinct().join(known.select("doc_id"), "doc_id", "left_anti").orderBy(*order).limit(SAMPLE_U)
-    if not u.take(1):  # every document is labelled: the marginal is that of the labelled ones
-        u = mine.select("doc_id").distinct().orderBy(*order).limit(SAMPLE_U)
-    return p, u, float(prior or 0.0)
+    ids = mine.where("toxic = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_P)
+    return stored(docs.join(F.broadcast(ids), "doc_id"), "toxicity-confirmed"), float(prior or 0.0)  # at most SAMPLE_P ids
 
 
-def found(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """doc_id, text, y of the sampled documents."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most SAMPLE_P + SAMPLE_U ids
-
-
-def selected(docs: DataFrame, sample: DataFrame, n_p: int, n_u: int) -> np.ndarray:
-    """The FEATURES hashes, ascending, that P's documents hold most clearly more often than U's.  Document frequencies are
-    summed by tasks and a shuffle; only the hashes chosen reach the driver."""
+def frequencies(docs: DataFrame, among: np.ndarray | None = None) -> DataFrame:
+    """Rows (h, n): documents that hold the feature h (of those given)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0 if among is None else len(among), np.int64)
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            y = b.column("y").to_numpy(zero_copy_only=False)
             for lo, hi in chunks(offsets):
-                doc, h, _, _ = counted(data, offsets[lo : hi + 1])
-                names, at = np.unique(h, return_inverse=True)
-                n, of_p = np.bincount(at, minlength=len(names)), np.bincount(at, weights=y[lo:hi][doc], minlength=len(names)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(of_p), pa.array(n - of_p)], names=["h", "p", "u"])
-
-    df = found(docs, sample).select("text", "y").mapInArrow(run, "h long, p long, u long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    a, b, both = (F.col("p") + 0.5) / (n_p + 1), (F.col("u") + 0.5) / (n_u + 1), (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
-    z = (a - b) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    # what few confirmed examples hold says nothing
-    best = df.where("p >= 5").where(a > 2 * b).withColumn("z", z).where("z > 5").orderBy(F.desc("z"), "h").limit(FEATURES)
-    return np.sort(np.array([r["h"] for r in best.select("h").collect()], np.int64).view(np.uint64))
-
-
-def gathered(docs: DataFrame, sample: DataFrame, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Label, number of words, places of the features held and their counts, of every sampled document; P first, by id."""
+                _, h, _, _ = counted(data, offsets[lo : hi + 1], among)
+                if among is None:
+                    names, n = np.unique(h, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n)], names=["h", "n"])
+                else:
+                    total += np.bincount(np.searchsorted(among, h), minlength=len(among))
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.array(among.view(np.int64)), pa.array(total)], names=["h", "n"])
+
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def selected(p_docs: DataFrame, u_docs: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The FEATURES hashes, ascending, that P's documents hold most clearly more often than U's."""
+    # what few confirmed examples hold says nothing; at most a fifth of the entries of SAMPLE_P documents
+    held = {r["h"]: r["n"] for r in frequencies(p_docs).where("n >= 5").collect()}
+    names = np.sort(np.array(list(held), np.int64).view(np.uint64))
+    if not len(names):
+        return names
+    p = np.array([held[int(h)] for h in names.view(np.int64)], np.float64)
+    u = np.zeros(len(names))
+    for r in frequencies(u_docs, names).collect():  # one row a name
+        u[np.searchsorted(names, np.uint64(r["h"] & 0xFFFFFFFFFFFFFFFF))] = r["n"]
+    a, b, both = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1), (p + u + 1) / (n_p + n_u + 2)
+    z = (a - b) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+    clear = np.flatnonzero((a > 2 * b) & (z > 5))
+    best = clear[np.lexsort((names.view(np.int64)[clear], -z[clear]))][:FEATURES]
+    return np.sort(names[best])
+
+
+def rows_of(docs: DataFrame, features: np.ndarray) -> DataFrame:
+    """Rows (n, h, times): number of words, places and counts of the features held, and how many documents have just these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = text_buffers(b.column("text"))
-            rows, words_ = [], []
             for lo, hi in chunks(offsets):
                 doc, h, count, n_words = counted(data, offsets[lo : hi + 1], features)
                 cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
                 both = np.stack([np.searchsorted(features, h).astype("<u2"), np.minimum(count, 65535).astype("<u2")], axis=1)
-                rows += [both[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-                words_ += n_words.tolist()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(words_, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "y", "n", "h"])
+                held = [both[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(n_words.astype(np.int64)), pa.array(held, pa.binary())], names=["n", "h"])
+
+    return docs.select("text").mapInArrow(run, "n long, h binary").groupBy("n", "h").agg(F.count("*").alias("times"))
+
+
+@dataclass
+class Part:
+    """Feature rows as arrays: row, place and value of every entry, length and number of every row."""
+
+    row: np.ndarray
+    k: np.ndarray
+    value: np.ndarray
+    length: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, n: np.ndarray, h: list[bytes], times: np.ndarray) -> Part:
+        both = np.frombuffer(b"".join(h), "<u2").reshape(-1, 2)
+        row = np.repeat(np.arange(len(h)), [len(x) // 4 for x in h])
+        return cls(row, both[:, 0].astype(np.int64), np.log1p(both[:, 1].astype(np.float64)), np.log1p(n.astype(np.float64)), times.astype(np.float64))
+
+    def score(self, w: np.ndarray) -> np.ndarray:
+        """w: a weight a feature, that of the length, the intercept."""
+        return np.bincount(self.row, weights=w[self.k] * self.value, minlength=len(self.length)) + w[-2] * self.length + w[-1]
+
+    def pulled(self, g: np.ndarray, size: int) -> np.ndarray:
+        """The gradient by the weights of a sum over rows, of which g is the gradient by the score."""
+        return np.concatenate([np.bincount(self.k, weights=g[self.row] * self.value, minlength=size - 2), [(g * self.length).sum(), g.sum()]])
+
+
+def sigma(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def over_u(rows: DataFrame, w: np.ndarray) -> np.ndarray:
+    """Sums over U's documents: the gradient of l(-f) by the weights, and l(-f) itself, last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(w) + 1)
+        for b in batches:
+            part = Part.of(b.column("n").to_numpy(), b.column("h").to_pylist(), b.column("times").to_numpy())
+            f = part.score(w)
+            total[:-1] += part.pulled(part.times * sigma(f), len(w))
+            total[-1] += (part.times * np.logaddexp(0, f)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.rint(total / UNIT).astype(np.int64))], names=["k", "s"])
+
+    out = np.zeros(len(w) + 1)
+    for r in rows.mapInArrow(run, "k int, s long").groupBy("k").agg(F.sum("s").alias("s")).collect():  # one row a weight
+        out[r["k"]] = r["s"] * UNIT
+    return out
+
+
+def descent(p: Part, n_p: int, n_u: int, prior: float, w: np.ndarray, sums: np.ndarray) -> tuple[float, float, np.ndarray]:
+    """The risk, its negative part before the correction, and the direction to descend: the gradient, or the negative part's reversed.
 
-    some = found(docs, sample).mapInArrow(run, "doc_id long, y int, n long, h binary").collect()  # at most SAMPLE_P + SAMPLE_U rows of FEATURES places
-    rows = sorted((-r["y"], r["doc_id"], r["n"], bytes(r["h"])) for r in some)
-    both = [np.frombuffer(r[3], "<u2").reshape(-1, 2) for r in rows]
-    return np.array([-r[0] for r in rows]), np.array([r[2] for r in rows], np.int64), [x[:, 0] for x in both], [x[:, 1] for x in both]
+    sums: over_u() at w."""
+    f = p.score(w)
+    share = p.times / n_p
+    negative = sums[-1] / n_u - prior * float((share * np.logaddexp(0, f)).sum())
+    g = sums[:-1] / n_u - prior * p.pulled(share * sigma(f), len(w))
+    positive = prior * float((share * np.logaddexp(0, -f)).sum())
+    return positive + max(0.0, negative), negative, -g if negative < 0 else g + prior * p.pulled(share * (sigma(f) - 1), len(w))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rounds: int = 400) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic.  Rows with crc32(doc_id as text) mod 3 = 1 are left out."""
-    none = Model(np.zeros(0, np.uint64), np.zeros(1), 0.0, 0.0)
-    p, u, prior = chosen(docs, labels)
-    sample = stored(p.withColumn("y", F.lit(1)).unionByName(u.withColumn("y", F.lit(0))), "toxicity-sample")
-    docs = docs.select("doc_id", "text")
-    sizes = {r["y"]: r["n"] for r in docs.select("doc_id").join(F.broadcast(sample), "doc_id").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    docs = docs.select("doc_id", "text").where(fold("doc_id") != 1)
+    p_docs, prior = confirmed(docs, labels)
+    n_p = p_docs.count()
+    n_u = docs.count() if n_p else 0
     if not n_p or not n_u:
-        return none
-    best = selected(docs, sample, n_p, n_u)
-    y, n_words, places, counts = gathered(docs, sample, best)
-    doc, k = np.repeat(np.arange(len(y)), [len(x) for x in places]), np.concatenate(places).astype(np.int64)
-    value = np.log1p(np.concatenate(counts).astype(np.float64))
-    length = np.log1p(n_words.astype(np.float64))
-    n = len(y)
-    w, c = np.zeros(len(best) + 1), float(np.log(prior / (1 - prior))) if prior < 1 else 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    share = np.where(y == 1, 1 / n_p, 1 / n_u)
-    sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+        discard(p_docs)
+        return Model(np.zeros(0, np.uint64), np.zeros(1), 0.0, 0.0)
+    best = selected(p_docs, docs, n_p, n_u)
+    some = rows_of(p_docs, best).orderBy("n", "h").collect()  # at most SAMPLE_P rows of FEATURES places
+    p = Part.of(np.array([r["n"] for r in some]), [bytes(r["h"]) for r in some], np.array([r["times"] for r in some]))
+    rows = stored(rows_of(docs, best).sortWithinPartitions("n", "h"), "toxicity-rows")
+    w = np.zeros(len(best) + 2)
+    w[-1] = np.log(prior / (1 - prior)) if prior < 1 else 0.0
+    m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
-        f = np.bincount(doc, weights=w[k] * value, minlength=n) + w[-1] * length + c
-        negative = float((np.logaddexp(0, f) * share * np.where(y == 1, -prior, 1)).sum())
-        g = share * sigma(f) * np.where(y == 1, -prior, 1)
-        g = -g if negative < 0 else g + np.where(y == 1, prior * share * (sigma(f) - 1), 0)
-        grad = np.concatenate([np.bincount(k, weights=g[doc] * value, minlength=len(best)) + 1e-4 * w[:-1], [(g * length).sum(), g.sum()]])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, c = w - step[:-1], c - step[-1]
-    return Model(best, w, float(c), prior)
+        _, _, grad = descent(p, n_p, n_u, prior, w, over_u(rows, w))
+        grad[:-2] += 1e-4 * w[:-2]
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        rate = STEP * min(1.0, 2 * (1 - (t - 1) / rounds))
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    discard(p_docs, rows)
+    return Model(best, w[:-1], float(w[-1]), prior)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -156,6 +156,44 @@ def test_nearest_recall(spark):
         assert hits >= 0.9 * wanted
 
 
+def test_toxicity_risk_and_gradient(spark):
+    """The sums over tasks against the written-out risk of Counters, and the gradient against differences."""
+    bad, good = "awful nasty gunk here", "a calm and plain text about rivers"
+    docs = spark.createDataFrame([(i, f"{bad} {'nasty ' * (i % 3)}w{i}" if i % 4 == 0 else f"{good} w{i % 7}" if i % 9 else None) for i in range(400)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    docs = docs.where(toxicity.fold("doc_id") != 1)
+    p_docs, prior = toxicity.confirmed(docs, labels)
+    n_p, n_u = p_docs.count(), docs.count()
+    best = toxicity.selected(p_docs, docs, n_p, n_u)
+    assert len(best) and prior > 0
+    some = toxicity.rows_of(p_docs, best).collect()
+    p = toxicity.Part.of(np.array([r["n"] for r in some]), [bytes(r["h"]) for r in some], np.array([r["times"] for r in some]))
+    rows = toxicity.rows_of(docs, best)
+    w = np.random.default_rng(3).normal(0, 0.5, len(best) + 2)
+
+    def risk(w):
+        model = toxicity.Model(best, w[:-1], float(w[-1]), prior)
+        at = {n: np.array([r["score"] for r in toxicity.score(d, model).collect()]) for n, d in (("p", p_docs), ("u", docs))}
+        negative = -np.log(1 - at["u"]).mean() + prior * np.log(1 - at["p"]).mean()
+        return -prior * np.log(at["p"]).mean() + max(0.0, negative), negative
+
+    for w[-1] in (-3.0, 2.0):
+        loss, negative, grad = toxicity.descent(p, n_p, n_u, prior, w, toxicity.over_u(rows, w))
+        assert np.allclose((loss, negative), risk(w), atol=1e-6)
+        part = 1 if negative < 0 else 0
+        for k in (0, len(best) - 1, len(w) - 2, len(w) - 1):
+            step = np.eye(len(w))[k] * 1e-4
+            slope = (risk(w + step)[part] - risk(w - step)[part]) / 2e-4
+            assert np.isclose(grad[k], -slope if part else slope, atol=1e-4)
+
+
+def test_toxicity_of_empty_tables(spark, odd_docs):
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert {r["score"] for r in toxicity.score(odd_docs, toxicity.fit(odd_docs, labels)).collect()} == {0.0}
+    none = odd_docs.limit(0)
+    assert toxicity.score(none, toxicity.fit(none, spark.createDataFrame([(1, 1)], labels.schema))).count() == 0
+
+
 def test_toxicity_held_out(spark, odd_docs):
     sf = f"{os.path.dirname(SF)}/sf0.1"  # the smaller tables hold too few confirmed examples to learn from
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
