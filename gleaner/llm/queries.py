@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, kneser_ney, mixing, near_vectors, nearest, secrets, substring_dedup, token_store, toxicity
+from . import byte_bpe, jaccard_join, kneser_ney, mixing, near_vectors, nearest, oracles, secrets, substring_dedup, token_store, toxicity
 from .shared import work_folder
 
 
@@ -76,4 +76,4 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_jaccard_join, op2_kneser_ney, op3_near_vectors, op4_token_store, op5_mixing, op6_toxicity, op7_secrets, op8_substring_dedup, op9_byte_bpe, op10_nearest)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
