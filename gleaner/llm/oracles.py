@@ -6,6 +6,8 @@ approximate search); tests/llm holds those against brute force, round trips or h
 
 from __future__ import annotations
 
+from . import licenses
+
 SPACED = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -89,4 +91,70 @@ kept AS (SELECT k, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS rest FROM wor
 SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM worded LEFT JOIN kept USING (k)"""
 
-ORACLE_SQL = {"op1_jaccard_join": OP1, "op3_near_vectors": OP3, "op7_secrets": OP7, "op8_substring_dedup": OP8}
+OP11 = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.k, a.vec_id AS anchor_id, a.label AS own, b.vec_id AS other, b.label, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT k, anchor_id, own, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY k ORDER BY score DESC, other) AS r
+  FROM s WHERE label = own QUALIFY r <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY k, r ORDER BY score DESC, other) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (k) WHERE s.label <> p.own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+
+def _assignment(n: int) -> str:
+    """The nearest entry of book{n} for every part, and the floors of the means that make book{n + 1}."""
+    return f"""code{n} AS MATERIALIZED (
+  SELECT k, p, min((list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c))::BIGINT * 64 + e) AS m FROM part JOIN book{n} USING (p) GROUP BY k, p
+), sum{n} AS (
+  SELECT p, m % 64 AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM part JOIN code{n} USING (k, p), generate_series(1, len(x)) t(i) GROUP BY ALL
+), mean{n} AS (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS c FROM sum{n} GROUP BY p, e),
+book{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{n}.c, book{n}.c) AS c FROM book{n} LEFT JOIN mean{n} USING (p, e))"""
+
+
+OP12 = f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (SELECT k, p, q[p * len(q) // 16 + 1:(p + 1) * len(q) // 16] AS x FROM v, range(16) t(p)),
+book0 AS MATERIALIZED (SELECT p, k - 1 AS e, x AS c FROM part WHERE k <= 64),
+{_assignment(0)}, {_assignment(1)}, {_assignment(2)},
+name AS (SELECT sha256(string_agg(z, ',' ORDER BY p, e)) AS codebooks_sha256 FROM (SELECT p, e, array_to_string(list_transform(c, lambda x: x::BIGINT), ',') AS z FROM book2)),
+done AS (SELECT k, string_agg(lower(printf('%02x', m % 64)), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM code2 GROUP BY k)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN done USING (k), name"""
+
+
+def _template_rows() -> str:
+    k, rows = licenses.K, []
+    for t, template in enumerate(licenses.TEMPLATES):
+        w = template.words
+        rows += [f"({t}, {i}, '{' '.join(w[i : i + k])}', {len(w) - k + 1}, {template.base}, '{template.label}')" for i in range(len(w) - k + 1)]
+    return ", ".join(rows)
+
+
+OP13 = rf"""
+WITH template (t, at, gram, grams, base, label) AS (VALUES {_template_rows()}),
+worded AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{licenses.WORD}') AS w FROM documents
+), gram AS (
+  SELECT k, unnest(range(len(w) - 2)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS gram FROM worded WHERE len(w) >= 3
+), vote AS (SELECT k, t, grams, base, label, at, i, i - at AS d FROM gram JOIN template USING (gram)),
+new AS (SELECT *, CASE WHEN d - lag(d) OVER o > CASE WHEN base THEN 0 ELSE {licenses.GAP} END THEN 1 ELSE 0 END AS n FROM vote WINDOW o AS (PARTITION BY k, t ORDER BY d, at)),
+run AS (SELECT *, sum(n) OVER (PARTITION BY k, t ORDER BY d, at) AS r FROM new),
+span AS (
+  SELECT k, label, base, min(i) AS low, count(DISTINCT at) / grams AS share, max(i) + 3 - min(i) <= {licenses.STRETCH} * (grams + 2) AS fits FROM run GROUP BY k, t, grams, base, label, r
+), judged AS (SELECT *, fits AND share >= CASE WHEN base THEN 1 ELSE {licenses.LEAST} END AS ok FROM span),
+found AS (
+  SELECT k, count(*) FILTER (ok AND base) AS n_base, min(low) FILTER (ok AND base) AS first_word, max(low) FILTER (ok AND base) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (ok AND base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label) FILTER (ok)), ',') AS labels, max(share) AS score
+  FROM judged GROUP BY k
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0)::DOUBLE AS score FROM worded LEFT JOIN found USING (k)"""
+
+ORACLE_SQL = {"op1_jaccard_join": OP1, "op3_near_vectors": OP3, "op7_secrets": OP7, "op8_substring_dedup": OP8, "op11_hard_negatives": OP11, "op12_vector_codes": OP12, "op13_licenses": OP13}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, kneser_ney, mixing, near_vectors, nearest, oracles, secrets, substring_dedup, token_store, toxicity
+from . import byte_bpe, codes, hard_negatives, jaccard_join, kneser_ney, licenses, mixing, near_vectors, nearest, oracles, secrets, substring_dedup, token_store, toxicity
 from .shared import work_folder
 
 
@@ -73,7 +73,21 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.Index(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).search(F.col("id") % 100 == 0, k=10)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("id") % 50 == 0, label=label, positives=5, negatives=3, low=50, high=95)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), parts=16, entries=64, rounds=2)
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.spans(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_jaccard_join, op2_kneser_ney, op3_near_vectors, op4_token_store, op5_mixing, op6_toxicity, op7_secrets, op8_substring_dedup, op9_byte_bpe, op10_nearest)
+    f.__name__: f for f in (op1_jaccard_join, op2_kneser_ney, op3_near_vectors, op4_token_store, op5_mixing, op6_toxicity, op7_secrets, op8_substring_dedup, op9_byte_bpe, op10_nearest, op11_hard_negatives, op12_vector_codes, op13_licenses)
 }
 ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
