@@ -138,16 +138,16 @@ def _template_rows() -> str:
 
 
 OP13 = rf"""
-WITH template (t, at, gram, grams, base, label) AS (VALUES {_template_rows()}),
+WITH template (t, pos, gram, grams, base, label) AS (VALUES {_template_rows()}),
 worded AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{licenses.WORD}') AS w FROM documents
 ), gram AS (
   SELECT k, unnest(range(len(w) - 2)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS gram FROM worded WHERE len(w) >= 3
-), vote AS (SELECT k, t, grams, base, label, at, i, i - at AS d FROM gram JOIN template USING (gram)),
-new AS (SELECT *, CASE WHEN d - lag(d) OVER o > CASE WHEN base THEN 0 ELSE {licenses.GAP} END THEN 1 ELSE 0 END AS n FROM vote WINDOW o AS (PARTITION BY k, t ORDER BY d, at)),
-run AS (SELECT *, sum(n) OVER (PARTITION BY k, t ORDER BY d, at) AS r FROM new),
+), vote AS (SELECT k, t, grams, base, label, pos, i, i - pos AS d FROM gram JOIN template USING (gram)),
+new AS (SELECT *, CASE WHEN d - lag(d) OVER o > CASE WHEN base THEN 0 ELSE {licenses.GAP} END THEN 1 ELSE 0 END AS n FROM vote WINDOW o AS (PARTITION BY k, t ORDER BY d, pos)),
+run AS (SELECT *, sum(n) OVER (PARTITION BY k, t ORDER BY d, pos) AS r FROM new),
 span AS (
-  SELECT k, label, base, min(i) AS low, count(DISTINCT at) / grams AS share, max(i) + 3 - min(i) <= {licenses.STRETCH} * (grams + 2) AS fits FROM run GROUP BY k, t, grams, base, label, r
+  SELECT k, label, base, min(i) AS low, count(DISTINCT pos) / grams AS share, max(i) + 3 - min(i) <= {licenses.STRETCH} * (grams + 2) AS fits FROM run GROUP BY k, t, grams, base, label, r
 ), judged AS (SELECT *, fits AND share >= CASE WHEN base THEN 1 ELSE {licenses.LEAST} END AS ok FROM span),
 found AS (
   SELECT k, count(*) FILTER (ok AND base) AS n_base, min(low) FILTER (ok AND base) AS first_word, max(low) FILTER (ok AND base) AS last_word,
