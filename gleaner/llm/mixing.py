@@ -9,7 +9,8 @@ still lacking.  Documents are taken whole.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, after
 all others; rows with a null or repeated id are documents of their own (the order breaks ties by content; of equal rows
-it does not matter which is taken, but each is counted by itself); no documents give no rows; extra columns are not read.
+it does not matter which is taken, but each is counted by itself); a long text counts like any other and is taken whole or not
+at all; no documents give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .shared import prefix_sums, stored
 
@@ -119,13 +121,18 @@ def route(patterns: dict[tuple[int, ...], int], quotas: Sequence[float], most: i
     return {k: sum(patterns[k] - a.room for a in levels[i]) for i, k in enumerate(keys)}
 
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Column:
+    """Names what a row takes part with: rows of one key are equal to a mix."""
+    return F.xxhash64(docs[id_col], docs[text_col], docs[source_col]).alias("row_key")
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: str = SEED) -> DataFrame:
-    """Rows (id, size, source_size, target, taken).  source_col: a string, or an array of strings for documents of several
+    """Rows (id, size, source_size, target, taken, row_key).  source_col: a string, or an array of strings for documents of several
     sources; source_size and target are then sums over the document's sources.  Weights repeat over the sources by code point."""
     many = dict(docs.dtypes)[source_col].startswith("array")
     member = F.coalesce(F.array_sort(F.array_distinct(F.col("_s"))), F.array().cast("array<string>")) if many else F.array("_s")
-    src = docs.select(docs[id_col].alias("id"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), docs[source_col].alias("_s"))
-    src = stored(src.select("id", "size", member.alias("sources")), "sizes")  # words are counted once
+    src = docs.select(docs[id_col].alias("id"), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"), docs[source_col].alias("_s"), _row_key(docs, id_col, text_col, source_col))
+    src = stored(src.select("id", "size", member.alias("sources"), "row_key"), "sizes")  # words are counted once
     sums = src.groupBy("sources").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(sums) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -154,18 +161,28 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     placed = placed.join(F.broadcast(last), "pattern", "left")
     chosen = F.col("fits") | F.coalesce((F.col("_k") == F.col("last._k")) & (F.col("_before") == F.col("last._before")) & F.col("id").eqNullSafe(F.col("last.id")) & (F.col("size") == F.col("last.size")), F.lit(False))
     extra = F.when(F.coalesce(chosen, F.lit(False)), F.col("size")).otherwise(F.lit(0))
-    return placed.select(F.col("id").alias(id_col), "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.coalesce("full", F.lit(0)) + extra).cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id_col), "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("size") * F.coalesce("full", F.lit(0)) + extra).cast("long").alias("taken"), "row_key")
 
 
-def drawn(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, each row as often as the mix takes it (0 to `most` times).  mixed: rows of mix().
+def drawn(docs: DataFrame, mixed: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs, each row as often as the mix takes it (0 to `most` times).  mixed: rows of mix() of the same table.
 
-    Rows of one id and size share the most that any of them is taken; rows without words are not drawn."""
-    times = mixed.where("taken > 0").groupBy(F.col(id_col).alias("_id"), F.col("size").alias("_size")).agg(F.max(F.expr("taken div size")).cast("int").alias("_times"))
+    Rows of one key (equal id, text and source) are all taken `low` times, and `more` of them once more: these are numbered, part
+    by part of the table, so that no group of equal rows meets in one task.  Rows without words are not drawn."""
+    each = mixed.where("size > 0").select("row_key", F.expr("taken div size").alias("times"))
+    times = each.groupBy("row_key").agg(F.min("times").alias("low"), (F.sum("times") - F.min("times") * F.count("*")).alias("more")).where("low > 0 or more > 0")
     times = stored(times, "drawn")
+    uneven = not times.where("more > 0").isEmpty()
     if times.count() <= MOST_IDS:
         times = F.broadcast(times)
-    size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), size.alias("size"))
-    rows = rows.join(times, F.col("id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
-    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("row.*")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _row_key(docs, id_col, text_col, source_col), F.spark_partition_id().alias("part"))
+    rows = rows.join(times, "row_key")
+    out = rows.where("more = 0").select("row", F.col("low").alias("times"))
+    if uneven:
+        some = rows.where("more > 0")
+        before = some.groupBy("row_key", "part").count()
+        before = before.select("row_key", "part", F.coalesce(F.sum("count").over(W.partitionBy("row_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        placed = some.withColumn("place", F.row_number().over(W.partitionBy("row_key", "part").orderBy(F.lit(0)))).join(before, ["row_key", "part"])
+        once_more = F.when(F.col("before") + F.col("place") <= F.col("more"), 1).otherwise(0)
+        out = out.unionByName(placed.select("row", (F.col("low") + once_more).alias("times")))
+    return out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")

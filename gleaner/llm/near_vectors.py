@@ -6,8 +6,8 @@ pair over the threshold are compared.  Between two tiles products are accumulate
 the other dimensions can add is at most the product of the suffix norms, so pairs that cannot reach the threshold stop
 there.  Equal vectors are compared once.  A comparison gives counts and a spanning forest of its links, never pairs.
 
-Defined cases: vectors that are null, zero, of unusual length or hold null or non-finite components link with nothing
-and give their row; a null id gives no row (it could name no component); repeated ids count as vectors of their own and
+Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing and give their row; vectors of
+different lengths do not link, each length is compared by itself; a null id gives no row (it could name no component); repeated ids count as vectors of their own and
 share one row each; an empty table gives no rows; extra columns are not read.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .kernel import mix
 from .shared import components, parts, stored
-from .vectors import matrix, usable, usual_length
+from .vectors import lengths, matrix, usable
 
 SAMPLE, TILE, MOST_LEAVES = 16_384, 1_024, 1_024
 LEAD = (8, 24)
@@ -68,8 +68,17 @@ def leaf_of(points: np.ndarray, tree: list[tuple[int, float]]) -> np.ndarray:
     return at - len(tree)
 
 
-def links(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of a and b (length 1, dimensions in order) reach the threshold, as a boolean matrix."""
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows as they were given."""
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    x, y = (v / np.abs(v).max(axis=1, keepdims=True) for v in (x, y))
+    return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+
+
+def links(a: np.ndarray, b: np.ndarray, threshold: float, given: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Which rows of a and b (length 1, dimensions in order) reach the threshold, as a boolean matrix.
+
+    Cosines too near to it for the turned vectors' rounding are decided on the vectors as given."""
     slack = 1e-9
     cuts = [0, *[c for c in LEAD if c < a.shape[1]], a.shape[1]]
     total = a[:, : cuts[1]] @ b[:, : cuts[1]].T
@@ -95,6 +104,8 @@ def links(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
         i, j = np.nonzero(total >= threshold - slack)
     out = np.zeros((len(a), len(b)), bool)
     exact = np.einsum("ij,ij->i", a[i], b[j])
+    if given is not None and (close := np.flatnonzero(np.abs(exact - threshold) <= slack)).size:
+        exact[close] = cosines(given[0][i[close]], given[1][j[close]])
     out[i, j] = exact >= threshold
     return out
 
@@ -120,13 +131,19 @@ def _forest(link: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> np.ndarra
 
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (id, n_links, component_id, kept) of every vector."""
-    spark = vectors.sparkSession
     src = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v")).where("id is not null")
-    dim = usual_length(src, "v")
-    good = usable(F.col("v")) & (F.size("v") == dim)
+    out = src.where(~usable(F.col("v"))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    for dim in lengths(src, "v"):
+        out = out.unionByName(_of_length(src.where(usable(F.col("v")) & (F.size("v") == dim)), dim, threshold))
+    return out.withColumnRenamed("id", id_col)
+
+
+def _of_length(vectors: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """near_duplicates() of usable vectors (id, v) of one length."""
+    spark = vectors.sparkSession
     # equal vectors once, by their content; the smallest id stands for all
-    keyed = src.select("id", F.when(good, F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))))).alias("key"), F.when(good, F.col("v")).alias("v"))
-    reps = keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    keyed = vectors.select("id", F.md5(F.concat_ws(",", F.transform("v", lambda x: x.cast("string")))).alias("key"), "v")
+    reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
     reps = stored(reps, "vectors")
     n = reps.count()
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()
@@ -174,7 +191,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
             out = []
             for t1, t2, b1, b2 in df.itertuples(index=False, name=None):
                 (ia, ca, ma), (ib, cb, mb) = [(np.frombuffer(b["ids"], np.int64), np.frombuffer(b["copies"], np.int64), np.frombuffer(b["m"], number).reshape(-1, dim)) for b in (b1, b2)]
-                link = links(_unit(ma) @ turn, _unit(mb) @ turn, threshold)
+                link = links(_unit(ma) @ turn, _unit(mb) @ turn, threshold, (ma, mb))
                 if t1 == t2:
                     np.fill_diagonal(link, False)
                     link |= link.T
@@ -192,7 +209,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(found.where("a <> b").select("a", "b")).select(F.col("id").alias("rep"), "component")
     about = reps.select("key", "rep", "copies").join(counts, "rep", "left").join(comp, "rep", "left")
-    out = keyed.select("id", "key").join(about, "key", "left")
-    n_links = F.when(F.col("key").isNull(), 0).otherwise(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long")
-    component = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(id_col), n_links.alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    out = keyed.select("id", "key").join(about, "key")
+    n_links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long")
+    component = F.coalesce("component", "rep")
+    return out.select("id", n_links.alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))

@@ -6,8 +6,10 @@ A query is scored against all rows by table lookups (|y|^2 - 2 q.y, with q.c tab
 block of rows are measured exactly on the original vectors.
 
 Queries are taken in blocks of bounded size, one pass over the index each.  Recall against brute force is measured in the
-tests.  Defined cases: vectors that are null, zero, of unusual length or hold null or non-finite components take no part; a
-null id takes no part; repeated ids are rows of their own, and none is its own query's neighbour; an empty table has no answers.
+tests.  Defined cases: vectors that are null, zero or hold null or non-finite components take no part; vectors of different
+lengths are not compared, each length has an index of its own; a null id takes no part; repeated ids are rows of their own, and
+none is its own query's neighbour; of equal distances the smaller id comes first; an empty table has no answers; extra
+columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .shared import stored
-from .vectors import matrix, usable, usual_length
+from .vectors import lengths, matrix, usable
 
 SAMPLE, STAGES, WORDS, BEAM, ROUNDS = 8_192, 8, 256, 4, 6
 BLOCK, RERANK, QUERIES = 4_096, 320, 2_048
@@ -79,15 +81,30 @@ def encode(x: np.ndarray, books: np.ndarray, chunk: int = 1_024) -> tuple[np.nda
 
 
 class Index:
-    """An index over every usable vector, stored in the shared folder in blocks of at most BLOCK different vectors."""
+    """An index over every usable vector, one for each length."""
 
     def __init__(self, vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding"):
         self.spark = vectors.sparkSession
         src = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v")).where("id is not null")
-        self.dim = dim = usual_length(src, "v")
-        self.rows = src.where(usable(F.col("v")) & (F.size("v") == dim))
-        sample = self.rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
-        self.books = books = codebooks(matrix(sample.column("v"), dim)) if sample.num_rows else np.zeros((STAGES, WORDS, 1), np.float32)
+        self.shelves = [Shelf(src.where(usable(F.col("v")) & (F.size("v") == dim)), dim) for dim in lengths(src, "v")]
+
+    def search(self, which: Column, k: int = 10) -> DataFrame:
+        """query_id, rank, vec_id, score for the rows of the index for which `which` (of id) holds."""
+        out = self.spark.createDataFrame([], "query_id long, vec_id long, score double")
+        for shelf in self.shelves:
+            for found in shelf.found(which, k):
+                out = out.unionByName(found)
+        w = W.partitionBy("query_id").orderBy("score", "vec_id")
+        return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+class Shelf:
+    """The index of vectors (id, v) of one length, stored in the shared folder in blocks of at most BLOCK different vectors."""
+
+    def __init__(self, rows: DataFrame, dim: int):
+        self.rows, self.dim = rows, dim
+        sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+        self.books = books = codebooks(matrix(sample.column("v"), dim))
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -97,22 +114,16 @@ class Index:
                     codes, norms = encode(x, books)
                     yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (ids.astype(np.int64).tobytes(), codes.tobytes(), norms.astype(np.float32).tobytes(), x.tobytes())], names=["ids", "codes", "norms", "x"])
 
-        self.blocks = stored(self.rows.mapInArrow(build, "ids binary, codes binary, norms binary, x binary"), "index")
+        self.blocks = stored(rows.mapInArrow(build, "ids binary, codes binary, norms binary, x binary"), "index")
 
-    def search(self, which: Column, k: int = 10) -> DataFrame:
-        """query_id, rank, vec_id, score for the rows of the index for which `which` (of id) holds."""
+    def found(self, which: Column, k: int) -> Iterator[DataFrame]:
+        """Candidates of every query, a frame for each group of queries."""
         asked = self.rows.where(which)
         n = asked.count()
         groups = max(1, math.ceil(n / QUERIES))
-        out = None
         for g in range(groups if n else 0):
             part = asked.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == g).toArrow()  # about QUERIES rows
-            found = self._near(part.column("id").to_numpy().astype(np.int64), matrix(part.column("v"), self.dim), k)
-            out = found if out is None else out.unionByName(found)
-        if out is None:
-            out = self.spark.createDataFrame([], "query_id long, vec_id long, score double")
-        w = W.partitionBy("query_id").orderBy("score", "vec_id")
-        return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            yield self._near(part.column("id").to_numpy().astype(np.int64), matrix(part.column("v"), self.dim), k)
 
     def _near(self, qids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
         books, dim = self.books, self.dim

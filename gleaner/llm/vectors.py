@@ -14,10 +14,9 @@ def usable(column: Column) -> Column:
     return F.coalesce(column.isNotNull() & finite & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def usual_length(vectors: DataFrame, column: str) -> int:
-    """The most frequent length (the shorter on a tie); vectors of another length take no part.  0: no vectors."""
-    r = vectors.where(usable(F.col(column))).groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return int(r["n"]) if r else 0
+def lengths(vectors: DataFrame, column: str) -> list[int]:
+    """The lengths of usable vectors: a dimension or a few, each of them a problem of its own."""
+    return sorted(r["n"] for r in vectors.where(usable(F.col(column))).select(F.size(column).alias("n")).distinct().collect())
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:

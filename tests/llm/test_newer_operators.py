@@ -171,3 +171,21 @@ def test_whole_tables(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert sorted(map(tuple, queries.op11_hard_negatives(spark, SF).collect())) == brute_negatives(rows)
     assert sorted((tuple(r) for r in queries.op12_vector_codes(spark, SF).collect()), key=repr) == brute_codes(rows)
+
+
+def test_each_length_of_vectors_is_compared(spark):
+    """Operators 3 and 10: equal vectors link whatever the other rows' length; the threshold is decided on the vectors as given."""
+    from gleaner.llm import near_vectors, nearest
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0, 1.0]), (4, [0.0, 1.0, 1.0]), (5, [0.0, 0.0]), (6, None), (100, [0.0, 1.0, 0.5]), (7, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in near_vectors.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (100, 0, 100, True)]
+    found = [(r.query_id, r.vec_id) for r in nearest.Index(df).search(F.col("id") % 100 == 0).orderBy("rank").collect()]
+    assert found == [(100, 3), (100, 4)]
+    x = np.array([[3.0, 4.0], [4.0, 3.0]])
+    edge = float(near_vectors.cosines(x[:1], x[1:])[0])
+    unit = near_vectors._unit(x)
+    turn = near_vectors.directions(np.random.default_rng(1).normal(size=(50, 2)))
+    assert near_vectors.links(unit[:1] @ turn, unit[1:] @ turn, edge, (x[:1], x[1:])).all()
+    assert not near_vectors.links(unit[:1] @ turn, unit[1:] @ turn, np.nextafter(edge, 2), (x[:1], x[1:])).any()

@@ -223,3 +223,23 @@ def test_equal_rows_are_taken_singly(spark):
     for source in {r.target for r in got}:
         mine = [r for r in got if r.target == source]
         assert abs(sum(r.taken for r in mine) - source) <= 5
+
+
+def test_draws_are_what_the_mix_takes(spark):
+    """Equal rows, and rows of one id in several sources with different texts, are drawn word for word as planned."""
+    equal = [(1, "a b c d e f g h i j", "s1")] * 8
+    several = [(i, " ".join(f"{s}{i}{k}" for k in range(6 + i)), s) for i in range(3) for s in ("p", "q")]
+    many = [(i % 4, "x y z " * (i % 5), f"s{i % 3}") for i in range(200)]
+    for rows in (equal, several, many, equal + several + many + [(9, None, "s1"), (None, "n u l l", None)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+        docs.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/draws-{len(rows)}")
+        docs = spark.read.parquet(path)
+        mixed = mixing.mix(docs)
+        words = F.size(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)))
+        got = {r[0]: r[1] for r in mixing.drawn(docs, mixed).groupBy("source").agg(F.sum(words)).collect()}
+        want = {}
+        plan = mixed.groupBy("row_key").agg(F.sum("taken").alias("t")).join(docs.select(F.xxhash64("doc_id", "text", "source").alias("row_key"), "source").distinct(), "row_key")
+        for r in plan.collect():
+            want[r.source] = want.get(r.source, 0) + r.t
+        assert got == {k: v for k, v in want.items() if v}
+        assert sum(got.values()) == mixed.agg(F.sum("taken")).first()[0]
