@@ -7,7 +7,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters after which a list item starts a unit, a unit ends, a unit is cut, and what two pieces share.
@@ -33,6 +33,17 @@ def is_heading(line: str) -> bool:
     return line[-1] not in ".?!;" and sum(w[0].isupper() for w in words) >= max(1, len(words) - 1)
 
 
+def reads_as_heading(line: Column) -> Column:
+    """is_heading() as an expression, for lines without outer blanks."""
+    words = F.regexp_extract_all(line, F.lit(WORD.pattern), F.lit(0))
+    digits = F.length(F.regexp_replace(line, "[^0-9]", ""))
+    plain = F.length(line).between(1, HEADING_CHARS) & ~line.rlike("https?://") & ~line.rlike(f"^{NUMERIC.pattern}$")
+    fits = F.size(words).between(1, HEADING_WORDS) & (digits <= F.greatest(F.lit(3), F.floor(F.length(line) / 5)))
+    marked = line.startswith("#") | line.rlike(NUMBERED.pattern) | ((F.size(words) > 1) & (F.upper(line) == line))
+    titled = ~line.rlike("[.?!;]$") & (F.size(F.filter(words, lambda w: w.rlike("^[A-Z]"))) >= F.greatest(F.lit(1), F.size(words) - 1))
+    return F.coalesce(plain & fits & (marked | titled), F.lit(False))
+
+
 def pieces(text: str) -> list[tuple[int, int, str]]:
     """(start, end, text) of a long unit's pieces.  A piece ends behind its last sentence end, else at its last space,
     unless that leaves less than half of the most it may hold."""

@@ -329,10 +329,10 @@ BEST = f"""{UNITS}, scored AS (SELECT *, CAST({' + '.join([_HAS('status: f', 2),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 4) DESC, idx) AS rank FROM scored)"""
 
 
-def _units(s, d):
+def _units(s, d, docs=None):
     line = F.col("line")
     by = W.partitionBy("doc_id").orderBy("idx")
-    found = units.lines(_orders(s, d)).where(F.trim("line") != "")
+    found = units.lines(_orders(s, d) if docs is None else docs).where(F.trim("line") != "")
     heading = F.last(F.when(line.rlike("^#+ "), F.regexp_replace(line, "^#+ ", "")), ignorenulls=True).over(by)
     return found.select("doc_id", (F.row_number().over(by) - 1).cast("long").alias("idx"), units.anchor(F.col("idx"), F.col("idx")).alias("anchor"), line.alias("text"), heading.alias("heading"))
 
@@ -370,3 +370,31 @@ a AS (SELECT doc_id, slot, arg_min(value, idx) AS value, arg_min(anchor, idx) AS
 SELECT doc_id, slot, 'resolved' AS status, trim(regexp_replace(value, '\\s+', ' ', 'g')) AS value, anchor, CAST(0.99 AS DOUBLE) AS confidence FROM asked JOIN a USING (doc_id, slot)""")
 def slot_collect(s, d):
     return extract.collected(_units(s, d), [extract.Slot(n) for n in SLOTS])
+
+
+ACCOUNT_SLOTS = [
+    extract.Slot("first_signed", "When was the first order signed?", "date"),
+    extract.Slot("left_over", "How many orders remained after filtering?"),
+    extract.Slot("went", "Where did the holder go?"),
+    extract.Slot("sailed_again", "Where did the holder sail?"),
+    extract.Slot("top", "What is the second category?"),
+    extract.Slot("towns", "list the towns taken"),
+    extract.Slot("billing", "Which API was billed?"),
+    extract.Slot("zebra", "Any zebra?"),
+]
+
+
+@query("""WITH a AS (SELECT o_custkey AS doc_id, strftime(min(o_orderdate), '%-d %B %Y') AS first, format('{:,}', sum(CAST(floor(o_totalprice) AS BIGINT))) AS total, count(*) AS n,
+  count(*) FILTER (o_orderpriority = '1-URGENT') AS u, count(*) FILTER (o_orderpriority = '5-LOW') AS l, CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE 1 END AS k FROM orders GROUP BY o_custkey),
+p AS (SELECT *, ['Jaffa', 'Acre', 'Cyprus'][doc_id % 3 + 1] AS place FROM a),
+x AS (SELECT doc_id, 'first_signed' AS slot, 'resolved' AS status, first AS value, 2 AS line, 0.88 AS confidence FROM p
+ UNION ALL SELECT doc_id, 'left_over', 'resolved', CASE WHEN n > 20 THEN CAST(n AS VARCHAR) ELSE total END, 3 + k, 0.98 FROM p
+ UNION ALL SELECT doc_id, 'went', CASE k WHEN 0 THEN 'missing' ELSE 'partial' END, CASE k WHEN 0 THEN '' ELSE place END, CASE k WHEN 0 THEN NULL ELSE 3 END, CASE k WHEN 0 THEN 0.0 ELSE 0.6 END FROM p
+ UNION ALL SELECT doc_id, 'sailed_again', CASE k WHEN 0 THEN 'missing' ELSE 'partial' END, CASE k WHEN 0 THEN '' ELSE place END, CASE k WHEN 0 THEN NULL ELSE 3 END, CASE k WHEN 0 THEN 0.0 ELSE 0.6 END FROM p
+ UNION ALL SELECT doc_id, 'top', 'resolved', CASE WHEN u >= l THEN 'Low Orders: ' || l ELSE 'Urgent Orders: ' || u END, 4 + k, 0.99 FROM p
+ UNION ALL SELECT doc_id, 'towns', 'resolved', 'Arsuf, Jaffa and Acre', 7 + k, 0.8 FROM p
+ UNION ALL SELECT doc_id, 'billing', 'partial', '', 3 + k, 0.35 FROM p
+ UNION ALL SELECT doc_id, 'zebra', 'missing', '', NULL, 0.0 FROM p)
+SELECT doc_id, slot, status, value, 'L' || line || '-L' || line AS anchor, CAST(confidence AS DOUBLE) AS confidence FROM x""")
+def typed_answers(s, d):
+    return extract.collected(_units(s, d, tables.rendered_accounts(tables.table(s, d, "orders"))), ACCOUNT_SLOTS)

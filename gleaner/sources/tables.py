@@ -49,6 +49,27 @@ def rendered_orders(orders: DataFrame) -> DataFrame:
     return orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(parts.alias("p")).select("doc_id", F.concat(F.lit("# Customer "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join("p", "\n\n")).alias("text"))
 
 
+def rendered_accounts(orders: DataFrame) -> DataFrame:
+    """doc_id, text: a page of prose lines for each customer: dates, a place (not for every fifth), amounts, figures by category, towns."""
+    urgent, low = (F.count_if(F.col("o_orderpriority") == p).cast("string") for p in ("1-URGENT", "5-LOW"))
+    day = lambda d: F.date_format(d, "d MMMM yyyy")
+    each = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(
+        day(F.min("o_orderdate")).alias("first"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last"), F.format_number(F.sum(F.floor("o_totalprice")), 0).alias("total"), F.count("*").cast("string").alias("n"), urgent.alias("urgent"), low.alias("low")
+    )
+    place = F.element_at(F.array(F.lit("Jaffa"), F.lit("Acre"), F.lit("Cyprus")), (F.col("doc_id") % 3 + 1).cast("int"))
+    lines = [
+        F.concat(F.lit("# Account "), F.col("doc_id").cast("string")),
+        F.concat(F.lit("The first order was signed on "), F.col("first"), F.lit(". The last order was shipped on "), F.col("last"), F.lit(".")),
+        F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("The account holder sailed for "), place, F.lit(" where it trades."))),
+        F.concat(F.lit("A total of "), F.col("total"), F.lit(" was billed; "), F.col("n"), F.lit(" orders remained after filtering.")),
+        F.lit("Top categories count"),
+        F.concat(F.lit("Urgent Orders "), F.col("urgent")),
+        F.concat(F.lit("Low Orders "), F.col("low")),
+        F.lit("It took the towns of Arsuf, Jaffa and Acre."),
+    ]
+    return each.select("doc_id", F.concat_ws("\n", *lines).alias("text"))
+
+
 def rendered_log(events: DataFrame) -> DataFrame:
     """doc_id (the user), idx, line: log lines of every user in time order."""
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARN").otherwise("INFO")
