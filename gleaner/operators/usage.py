@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .profile import tokens
 
@@ -30,18 +31,15 @@ def by_label(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def episodes(events: DataFrame) -> DataFrame:
-    """user_id, episode, n_events, n_after_ready, state: a fold over each user's events in time order.
-
-    signup opens an episode, purchase makes it ready, error reopens it; anything else counts against a ready one."""
-    start = F.struct(F.lit(0).alias("ep"), F.lit("open").alias("st"), F.array().cast("array<struct<ep:int,st:string,late:int>>").alias("log"))
-
-    def step(acc: Column, e: Column) -> Column:
-        kind = e["event_type"]
-        ep = acc["ep"] + F.when(kind == "signup", 1).otherwise(0)
-        late = F.when((acc["st"] == "ready") & ~kind.isin("signup", "error", "purchase"), 1).otherwise(0)
-        st = F.when(kind.isin("signup", "error"), "open").when(kind == "purchase", "ready").otherwise(acc["st"])
-        return F.struct(ep.alias("ep"), st.alias("st"), F.concat(acc["log"], F.array(F.struct(ep.alias("ep"), st.alias("st"), late.alias("late")))).alias("log"))
-
-    grouped = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("ev"))
-    steps = grouped.select("user_id", F.posexplode(F.aggregate("ev", start, step)["log"]).alias("i", "x"))
-    return steps.groupBy("user_id", F.col("x.ep").alias("episode")).agg(F.count("*").alias("n_events"), F.sum("x.late").alias("n_after_ready"), F.max(F.struct("i", "x.st"))["st"].alias("state"))
+    """user_id, episode, n_events, n_after_ready, state of each user's episodes, by windows over events in time order.
+
+    signup opens an episode, purchase makes it ready, error reopens it; anything else counts against a ready one.  The state
+    machine of reading episodes is in gleaner.streaming.episodes."""
+    by = W.partitionBy("user_id").orderBy("ts", "event_id")
+    kind = F.col("event_type")
+    told = F.when(kind.isin("signup", "error"), "open").when(kind == "purchase", "ready")
+    state = F.coalesce(F.last(told, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)), F.lit("open"))
+    each = events.select("user_id", "ts", "event_id", "event_type", F.sum((kind == "signup").cast("int")).over(by).cast("int").alias("episode"), state.alias("state"))
+    late = (F.lag("state", 1, "open").over(by) == "ready") & told.isNull()
+    each = each.withColumn("late", late.cast("int"))
+    return each.groupBy("user_id", "episode").agg(F.count("*").alias("n_events"), F.sum("late").alias("n_after_ready"), F.max(F.struct("ts", "event_id", "state"))["state"].alias("state"))

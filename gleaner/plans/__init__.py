@@ -1,0 +1,3 @@
+"""All modules of registered queries."""
+
+from . import catalog, event_queries  # noqa: F401

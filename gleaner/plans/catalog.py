@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import denoise, evidence, extract, gate, items, profile, relevance, segments, slots, units, usage
 from ..sources import tables
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 SLOTS = ("STATUS", "TOTAL", "DATE", "PRIORITY")
 HINTS = ["order", "price"]
 #: Requests of the needle queries: literal rows; two common words and one that no text holds.
@@ -53,16 +49,6 @@ scored AS (SELECT request_id, budget, doc_id, idx, line, CAST(p AS DOUBLE) + CAS
 RANKED = SCORED + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, doc_id, idx) AS rank FROM scored)"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _docs(s: SparkSession, d: str) -> DataFrame:
     return tables.table(s, d, "documents")
 
@@ -279,7 +265,11 @@ def labels_join(s, d):
     return usage.by_label(_docs(s, d), tables.table(s, d, "labels"))
 
 
-@query()
+@query("""WITH e AS (SELECT *, sum(CAST(event_type = 'signup' AS INT)) OVER w AS episode,
+ last_value(CASE WHEN event_type IN ('signup', 'error') THEN 'open' WHEN event_type = 'purchase' THEN 'ready' END IGNORE NULLS) OVER w AS state,
+ last_value(CASE WHEN event_type IN ('signup', 'error') THEN 'open' WHEN event_type = 'purchase' THEN 'ready' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, CAST(episode AS INT) AS episode, count(*) AS n_events, count(*) FILTER (before = 'ready' AND event_type NOT IN ('signup', 'error', 'purchase')) AS n_after_ready, coalesce(arg_max(state, (ts, event_id)), 'open') AS state FROM e GROUP BY user_id, episode""")
 def episode_batch(s, d):
     return usage.episodes(tables.table(s, d, "events"))
 
