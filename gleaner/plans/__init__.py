@@ -1,3 +1,3 @@
 """All modules of registered queries."""
 
-from . import catalog, event_queries, request_queries  # noqa: F401
+from . import catalog, event_queries, file_queries, request_queries  # noqa: F401
