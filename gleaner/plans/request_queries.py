@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import paths, readiness, requests
+from ..operators import paths, readiness, reading, requests
 from ..sources import tables
-from .catalog import LOG
+from .catalog import LOG, ORDERS
 from .registry import query
 
 _N12 = ", ".join(f"'n{i}'" for i in range(1, 11))
@@ -81,3 +81,41 @@ def readiness_verdicts(s, d):
     wanted = F.array(*[F.struct(F.lit(i).alias("request_id"), F.lit(m).alias("mode"), F.array(*x).alias("slots")) for i, m, x in asked])
     got = readiness.judged(customers.select(key, F.explode(wanted).alias("r")).select("doc_id", "r.*"), answers)
     return got.select("doc_id", "request_id", "verdict", F.array_join("new_slots", ",").alias("new_slots"), F.array_join("open_slots", ",").alias("open_slots"))
+
+
+#: Raw requests that each customer's page is read by: kind, mode, budget, JSON.
+READS = (
+    ("urgent", "verify", 420, '{"goal": "status of urgent orders", "needles": ["STATUS: F", "1-URGENT", "total 5-LOW"], "must_keep": ["1-URGENT"], "want": "facts"}'),
+    ("look", "scout", None, '{"goal": "what is it"}'),
+    ("section", "refine", 300, '{"goal": "the section of urgent orders", "needles": "PRIORITY: 1-URGENT", "scope": "full"}'),
+    ("nothing", None, 200, '{"goal": "", "needles": ["zzz", "customer date"], "slots": [], "want": "schema"}'),
+)
+_IN = lambda term, n: f"CASE WHEN contains(hay, '{term}') THEN {n} ELSE 0 END"
+_URGENT = " + ".join([_IN("status: f", 2), _IN("1-urgent", 4), _IN("total 5-low", 2), _IN("1-urgent", 4), _IN("status", 2), _IN("urgent", 2), _IN("orders", 2)])
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS j FROM orders), p AS (SELECT *, lag('PRIORITY: ' || o_orderpriority, 1, CASE WHEN o_custkey < 1000 THEN '# Customer ' || o_custkey ELSE '' END) OVER (PARTITION BY o_custkey ORDER BY j) AS above FROM o),
+u AS (SELECT DISTINCT o_custkey AS doc_id, 0 AS idx, 'L1-L1' AS anchor, '# Customer ' || o_custkey AS text, CASE WHEN o_custkey < 1000 THEN '# Customer ' || o_custkey ELSE '' END AS heading FROM o
+ UNION ALL SELECT o_custkey, 1 + 3 * j, 'L' || (3 + 6 * j) || '-L' || (3 + 6 * j), '- order ' || o_orderkey, above FROM p
+ UNION ALL SELECT o_custkey, 2 + 3 * j, 'L' || (4 + 6 * j) || '-L' || (6 + 6 * j), 'STATUS: ' || o_orderstatus || chr(10) || 'TOTAL: ' || CAST(floor(o_totalprice) AS BIGINT) || chr(10) || 'DATE: ' || strftime(o_orderdate, '%Y-%m-%d'), 'STATUS: ' || o_orderstatus FROM p
+ UNION ALL SELECT o_custkey, 3 + 3 * j, 'L' || (7 + 6 * j) || '-L' || (7 + 6 * j), 'PRIORITY: ' || o_orderpriority, 'PRIORITY: ' || o_orderpriority FROM p),
+h AS (SELECT *, lower(heading || chr(10) || text) AS hay FROM u), n AS (SELECT *, min(CASE WHEN contains(hay, 'priority: 1-urgent') THEN idx END) OVER (PARTITION BY doc_id) AS start FROM h),
+extra AS (SELECT *, CASE WHEN regexp_matches(text, '^- ') THEN 0.4 ELSE 0 END + CASE heading WHEN '' THEN 0 ELSE 0.3 END AS e, CASE WHEN regexp_matches(text, '\\b[0-9]+([.,][0-9]+)?\\b') THEN 0.8 ELSE 0 END AS f FROM n),
+c AS (SELECT 'urgent' AS request_id, doc_id, 'scored' AS way, round({_URGENT} + e + f, 4)::DOUBLE AS score, -round({_URGENT} + e + f, 4)::DOUBLE AS first, idx, anchor, text, 420 AS most, 12 AS many FROM extra
+ UNION ALL SELECT 'look', doc_id, 'overview', 0.2, 1, idx, anchor, text, 1400, 4 FROM extra WHERE idx < 3
+ UNION ALL SELECT 'section', doc_id, 'section', round(CASE WHEN idx = start THEN 8 ELSE greatest(1, 7 - 0.4 * (idx - start)) END, 4), 0, idx, anchor, text, 300, 12 FROM extra WHERE idx BETWEEN start AND start + 9
+ UNION ALL SELECT 'section', doc_id, 'scored', s, -s, idx, anchor, text, 300, 12 FROM (SELECT *, round({" + ".join([_IN("priority: 1-urgent", 2), _IN("the", 2), _IN("section", 2), _IN("urgent", 2), _IN("orders", 2)])} + e + f, 4)::DOUBLE AS s FROM extra WHERE start IS NULL)
+ UNION ALL SELECT 'nothing', doc_id, 'scored', round({_IN("zzz", 2)} + {_IN("customer date", 2)} + e, 4), -round({_IN("zzz", 2)} + {_IN("customer date", 2)} + e, 4), idx, anchor, text, 200, 12 FROM extra WHERE e > 0),
+r AS (SELECT *, length(anchor) + length(text) + 32 AS cost, row_number() OVER (PARTITION BY request_id, doc_id ORDER BY first, idx) AS k, count(*) OVER (PARTITION BY request_id, doc_id) AS n_candidates FROM c),
+fold AS (SELECT request_id, doc_id, way, n_candidates, k, cost AS used, 1 AS taken, false AS over, anchor || '=' || CAST(score AS DECIMAL(10, 4)) AS blocks, text AS said FROM r WHERE k = 1
+ UNION ALL SELECT f.request_id, f.doc_id, f.way, f.n_candidates, r.k, CASE WHEN ok THEN f.used + r.cost ELSE f.used END, CASE WHEN ok THEN f.taken + 1 ELSE f.taken END, f.over OR (f.way = 'section' AND f.used + r.cost > most), CASE WHEN ok THEN f.blocks || ' ' || r.anchor || '=' || CAST(r.score AS DECIMAL(10, 4)) ELSE f.blocks END, CASE WHEN ok THEN f.said || chr(10) || r.text ELSE f.said END
+ FROM fold f JOIN r ON r.request_id = f.request_id AND r.doc_id = f.doc_id AND r.k = f.k + 1, LATERAL (SELECT f.used < most AND f.taken < many AND NOT f.over AND f.used + r.cost <= most AS ok) o),
+last AS (SELECT *, lower(said) AS low FROM fold WHERE k = n_candidates)
+SELECT request_id, doc_id, way, n_candidates, blocks, CASE request_id WHEN 'urgent' THEN concat_ws('|', CASE WHEN contains(low, 'status:') AND true THEN NULL ELSE 'STATUS: F' END, CASE WHEN contains(low, '1-urgent') THEN NULL ELSE '1-URGENT' END, CASE WHEN contains(low, 'total') AND contains(low, '5-low') THEN NULL ELSE 'total 5-LOW' END)
+ WHEN 'section' THEN CASE WHEN contains(low, 'priority:') AND contains(low, '1-urgent') THEN '' ELSE 'PRIORITY: 1-URGENT' END WHEN 'nothing' THEN concat_ws('|', 'zzz', CASE WHEN contains(low, 'customer') AND contains(low, 'date') THEN NULL ELSE 'customer date' END) ELSE '' END AS open FROM last""")
+def document_reads(s, d):
+    docs = tables.rendered_orders(tables.table(s, d, "orders"))
+    kinds = s.createDataFrame(list(READS), "request_id string, mode string, budget int, request string")
+    got = reading.read_texts(docs, docs.select("doc_id").join(F.broadcast(kinds)))  # a few kinds of requests for each document
+    said = F.transform("blocks", lambda b: F.concat_ws("=", b["anchor"], b["score"].cast("decimal(10,4)").cast("string")))
+    return got.select("request_id", "doc_id", "way", "n_candidates", F.array_join(said, " ").alias("blocks"), F.array_join("open", "|").alias("open"))
