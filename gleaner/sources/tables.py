@@ -27,7 +27,7 @@ def files(spark: SparkSession, root: str, large_structured: int = 1024, large_ot
 
 def texts(spark: SparkSession, root: str) -> DataFrame:
     """path and text of every file below root, one row a file; CRLF and CR become LF."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
