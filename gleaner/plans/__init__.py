@@ -1,3 +1,3 @@
 """All modules of registered queries."""
 
-from . import catalog, collection_queries, event_queries, file_queries, request_queries  # noqa: F401
+from . import card_queries, catalog, collection_queries, event_queries, file_queries, request_queries  # noqa: F401
