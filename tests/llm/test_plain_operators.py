@@ -243,3 +243,37 @@ def test_draws_are_what_the_mix_takes(spark):
             want[r.source] = want.get(r.source, 0) + r.t
         assert got == {k: v for k, v in want.items() if v}
         assert sum(got.values()) == mixed.agg(F.sum("taken")).first()[0]
+
+
+def test_routes_are_the_cheapest(spark):
+    """The flow against every distribution of words: as many as the quotas allow, at the least repetition."""
+    rng = np.random.default_rng(4)
+    cost = lambda taken, words: sum(r * min(max(taken - r * words, 0), words) for r in range(3))
+    for _ in range(25):
+        words = {(0,): int(rng.integers(0, 4)), (1,): int(rng.integers(0, 4)), (0, 1): int(rng.integers(0, 4))}
+        quotas = [int(q) for q in rng.integers(0, 12, 2)]
+        best = None
+        for a in range(3 * words[0,] + 1):
+            for b in range(3 * words[1,] + 1):
+                for c in range(3 * words[0, 1] + 1):
+                    for left in range(c + 1):
+                        if a + left <= quotas[0] and b + c - left <= quotas[1]:
+                            told = (-(a + b + c), cost(a, words[0,]) + cost(b, words[1,]) + cost(c, words[0, 1]))
+                            best = told if best is None else min(best, told)
+        got = mixing.route(words, quotas)
+        assert (-sum(got.values()), sum(cost(got[k], words[k]) for k in words)) == best
+
+
+def test_targets_by_their_rules():
+    """Shares by weight, none above three times its size, all words given out unless every source is full."""
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 9):
+        for _ in range(20):
+            sizes, weights = [int(x) for x in rng.integers(0, 1000, n) * rng.integers(0, 2, n)], [i % 3 + 1 for i in range(n)]
+            got = mixing.targets(sizes, weights)
+            assert all(t <= 3 * s + 1e-6 for t, s in zip(got, sizes, strict=True))
+            free = [(t / w) for t, s, w in zip(got, sizes, weights, strict=True) if s and t < 3 * s - 1e-6]
+            assert not free or max(free) - min(free) < 1e-6 * max(free)
+            full = [(t / w) for t, s, w in zip(got, sizes, weights, strict=True) if s and t >= 3 * s - 1e-6]
+            assert not free or not full or max(full) <= min(free) + 1e-6
+            assert abs(sum(got) - sum(sizes)) < 1e-6 * max(1, sum(sizes))
