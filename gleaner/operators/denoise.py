@@ -202,4 +202,7 @@ def denoised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
 
     src = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
     schema = f"id {src.schema['id'].dataType.simpleString()}, text string, input_chars long, output_chars long, rules string"
-    return src.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    # short texts stay as they are and do not leave the JVM
+    n = F.length("t").cast("long")
+    short = src.where(n < least).select("id", F.col("t").alias("text"), n.alias("input_chars"), n.alias("output_chars"), F.lit("").alias("rules"))
+    return short.unionByName(src.where(n >= least).mapInPandas(run, schema)).withColumnRenamed("id", id_col)
