@@ -2,8 +2,9 @@
 
 Directions of largest variance, found on a bounded sample, order the dimensions of all vectors (scaled to length 1).
 A tree of median splits along them deals vectors to tiles, and only tiles whose bounding boxes come near enough to hold a
-pair over the threshold are compared.  Between two tiles products are accumulated over the leading dimensions first; what
-the other dimensions can add is at most the product of the suffix norms, so pairs that cannot reach the threshold stop
+pair over the threshold are compared.  Neighbouring tiles make panels; a task gets the tiles of two panels and compares them
+in its memory, so a vector is shuffled at most once a panel, not once a tile.  Between two tiles products are taken over the
+leading dimensions first; what the other dimensions can add is at most the product of the suffix norms, so pairs that cannot reach the threshold stop
 there.  Equal vectors are compared once.  A comparison gives counts and a spanning forest of its links, never pairs.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing and give their row; vectors of
@@ -14,7 +15,6 @@ share one row each; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -23,11 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import mix
-from .shared import components, parts, stored
+from .shared import components, stored
 from .vectors import lengths, matrix, usable
 
 SAMPLE, TILE, MOST_LEAVES = 16_384, 1_024, 1_024
-LEAD = (8, 24)
+#: Vectors of a panel at most, panels at least (of so many tiles), partitions of pairs of panels at most.
+PANEL, PANELS, MOST_PARTS = 49_152, 12, 4_096
+#: Leading dimensions; pairs that are measured at a time.
+LEAD, PAIRS = 16, 65_536
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -79,31 +82,15 @@ def links(a: np.ndarray, b: np.ndarray, threshold: float, given: tuple[np.ndarra
     """Which rows of a and b (length 1, dimensions in order) reach the threshold, as a boolean matrix.
 
     Cosines too near to it for the turned vectors' rounding are decided on the vectors as given."""
-    slack = 1e-9
-    cuts = [0, *[c for c in LEAD if c < a.shape[1]], a.shape[1]]
-    total = a[:, : cuts[1]] @ b[:, : cuts[1]].T
-    for step, (lo, hi) in enumerate(pairwise(cuts)):
-        if step:
-            total += a[:, lo:hi] @ b[:, lo:hi].T if i is None else 0
-            if i is not None:
-                value += np.einsum("ij,ij->i", a[i, lo:hi], b[j, lo:hi])
-        else:
-            i = j = value = None
-        if hi == a.shape[1]:
-            break
-        rest_a, rest_b = np.sqrt((a[:, hi:] ** 2).sum(1)), np.sqrt((b[:, hi:] ** 2).sum(1))
-        if i is None:
-            alive = total + rest_a[:, None] * rest_b[None, :] >= threshold - slack
-            if alive.mean() < 0.05:
-                i, j = np.nonzero(alive)
-                value = total[i, j]
-        else:
-            alive = value + rest_a[i] * rest_b[j] >= threshold - slack
-            i, j, value = i[alive], j[alive], value[alive]
-    if i is None:
-        i, j = np.nonzero(total >= threshold - slack)
+    slack, lead = 1e-9, min(LEAD, a.shape[1])
+    # single precision bounds every cosine from above by the leading dimensions and the norms of the others
+    ahead = [np.column_stack([x[:, :lead], np.sqrt((x[:, lead:] ** 2).sum(1))]).astype(np.float32) for x in (a, b)]
+    alive = ahead[0] @ ahead[1].T >= np.float32(threshold - 1e-4)
+    if np.count_nonzero(alive) > alive.size // 20:
+        alive = a @ b.T >= threshold - slack
+    i, j = np.nonzero(alive)
     out = np.zeros((len(a), len(b)), bool)
-    exact = np.einsum("ij,ij->i", a[i], b[j])
+    exact = np.concatenate([np.einsum("ij,ij->i", a[i[k : k + PAIRS]], b[j[k : k + PAIRS]]) for k in range(0, max(1, len(i)), PAIRS)])
     if given is not None and (close := np.flatnonzero(np.abs(exact - threshold) <= slack)).size:
         exact[close] = cosines(given[0][i[close]], given[1][j[close]])
     out[i, j] = exact >= threshold
@@ -129,6 +116,17 @@ def _forest(link: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> np.ndarra
     return np.unique(both[both[:, 0] != both[:, 1]], axis=0)
 
 
+def in_cells(blocks: DataFrame, panels: int, dim: int, radius: float) -> DataFrame:
+    """Tiles with the cell (a pair of panels, first * panels + second) that compares them: once for each panel that its box comes near."""
+    edges = lambda f, c: F.array(*[f(F.col(c)[k]) for k in range(dim)])
+    boxes = blocks.groupBy(F.col("panel").alias("other")).agg(edges(F.min, "low").alias("olow"), edges(F.max, "high").alias("ohigh"))
+    gaps = F.transform(F.arrays_zip("low", "high", "olow", "ohigh"), lambda z: F.pow(F.greatest(F.lit(0.0), z["low"] - z["ohigh"], z["olow"] - z["high"]), 2))
+    met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(panels - 1).cast("long")))).join(F.broadcast(boxes), "other")
+    met = met.where(F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g) <= radius**2)
+    cell = F.least("panel", "other") * panels + F.greatest("panel", "other")
+    return met.select(cell.alias("cell"), *blocks.columns).repartition(min(MOST_PARTS, panels * (panels + 1) // 2), "cell")
+
+
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (id, n_links, component_id, kept) of every vector."""
     src = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].alias("v")).where("id is not null")
@@ -161,40 +159,39 @@ def _of_length(vectors: DataFrame, dim: int, threshold: float) -> DataFrame:
 
     kind = dict(reps.dtypes)["v"]
     dealt = reps.select("rep", "copies", "v").mapInArrow(tiles, f"rep long, copies long, v {kind}, leaf long, sub long")
-    sizes = {r["leaf"]: r["count"] for r in dealt.groupBy("leaf").count().collect()}  # at most MOST_LEAVES rows
-    fine = spark.createDataFrame([(k, -(-c // TILE)) for k, c in sizes.items()] or [(0, 1)], "leaf long, subs long")
-    dealt = dealt.join(F.broadcast(fine), "leaf").withColumn("tile", F.concat_ws(":", "leaf", F.col("sub") % F.col("subs")))
+    sizes = sorted((r["leaf"], r["count"]) for r in dealt.groupBy("leaf").count().collect())  # at most MOST_LEAVES rows
+    before = np.cumsum([0, *[c for _, c in sizes]]).tolist()
+    panels = max(1, -(-n // PANEL), min(PANELS, n // TILE))
+    fine = spark.createDataFrame([(k, at, c, -(-c // TILE)) for (k, c), at in zip(sizes, before, strict=False)] or [(0, 0, 1, 1)], "leaf long, at long, size long, subs long")
+    dealt = dealt.join(F.broadcast(fine), "leaf").withColumn("sub", F.col("sub") % F.col("subs")).withColumn("tile", F.concat_ws(":", "leaf", "sub"))
+    # panels are neighbouring leaves' tiles, cut at equal numbers of vectors
+    dealt = dealt.withColumn("panel", F.floor((F.col("at") + F.floor(F.col("sub") * F.col("size") / F.col("subs"))) * panels / max(1, n)).cast("long"))
 
     def block(df: pd.DataFrame) -> pd.DataFrame:
         m = np.stack(df["v"].to_numpy())
         y = _unit(m) @ turn
-        return pd.DataFrame([(int(df["leaf"].iloc[0]), df["tile"].iloc[0], df["rep"].to_numpy(np.int64).tobytes(), df["copies"].to_numpy(np.int64).tobytes(), m.astype(np.float64).tobytes() if kind == "array<double>" else m.astype(np.float32).tobytes(), y.min(0).tolist(), y.max(0).tolist())], columns=["leaf", "tile", "ids", "copies", "m", "low", "high"])
-
-    blocks = stored(dealt.groupBy("tile").applyInPandas(block, "leaf long, tile string, ids binary, copies binary, m binary, low array<double>, high array<double>"), "tiles")
-    # boxes of leaves (at most MOST_LEAVES), then of their tiles, decide which tiles meet
-    box = blocks.groupBy("leaf").agg(*[F.array(*[f(F.col(c)[k]) for k in range(dim)]).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))]).collect() if n else []
-    low, high, names = np.array([r["low"] for r in box]), np.array([r["high"] for r in box]), [r["leaf"] for r in box]
-    near = []
-    for i in range(len(box)):
-        gap = np.maximum(0, np.maximum(low - high[i], low[i] - high))
-        near += [(names[i], names[j]) for j in np.flatnonzero((gap**2).sum(1) <= radius**2) if names[i] <= names[j]]
-    near = F.broadcast(spark.createDataFrame(near or [(-1, -1)], "leaf long, other long"))
-    left = blocks.select("leaf", F.col("tile").alias("t1"), F.struct("ids", "copies", "m").alias("b1"), F.col("low").alias("l1"), F.col("high").alias("h1")).join(near, "leaf")
-    right = blocks.select(F.col("leaf").alias("other"), F.col("tile").alias("t2"), F.struct("ids", "copies", "m").alias("b2"), F.col("low").alias("l2"), F.col("high").alias("h2"))
-    pairs = left.join(right, "other").where((F.col("leaf") < F.col("other")) | (F.col("t1") <= F.col("t2")))
-    gaps = F.transform(F.arrays_zip("l1", "h1", "l2", "h2"), lambda z: F.pow(F.greatest(F.lit(0.0), z["l1"] - z["h2"], z["l2"] - z["h1"]), 2))
-    pairs = pairs.where(F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g) <= radius**2).select("t1", "t2", "b1", "b2").repartition(parts(spark))
+        return pd.DataFrame([(int(df["panel"].iloc[0]), df["tile"].iloc[0], df["rep"].to_numpy(np.int64).tobytes(), df["copies"].to_numpy(np.int64).tobytes(), m.astype(np.float64).tobytes() if kind == "array<double>" else m.astype(np.float32).tobytes(), y.min(0).tolist(), y.max(0).tolist())], columns=["panel", "tile", "ids", "copies", "m", "low", "high"])
+
+    blocks = stored(dealt.groupBy("tile").applyInPandas(block, "panel long, tile string, ids binary, copies binary, m binary, low array<double>, high array<double>"), "tiles")
+    met = in_cells(blocks, panels, dim, radius)
     number = np.float64 if kind == "array<double>" else np.float32
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            out = []
-            for t1, t2, b1, b2 in df.itertuples(index=False, name=None):
-                (ia, ca, ma), (ib, cb, mb) = [(np.frombuffer(b["ids"], np.int64), np.frombuffer(b["copies"], np.int64), np.frombuffer(b["m"], number).reshape(-1, dim)) for b in (b1, b2)]
-                link = links(_unit(ma) @ turn, _unit(mb) @ turn, threshold, (ma, mb))
+    def compare(df: pd.DataFrame) -> pd.DataFrame:
+        """The links within a panel, or between two; a pair of tiles is compared in one cell alone."""
+        one, other = divmod(int(df["cell"].iloc[0]), panels)
+        tiles_ = [(p, t, np.frombuffer(i, np.int64), np.frombuffer(c, np.int64), np.frombuffer(m, number).reshape(-1, dim), np.asarray(lo), np.asarray(hi)) for p, t, i, c, m, lo, hi in df[["panel", "tile", "ids", "copies", "m", "low", "high"]].itertuples(index=False, name=None)]
+        turned = {t: _unit(m) @ turn for _, t, _, _, m, _, _ in tiles_}
+        out = [np.zeros((0, 3), np.int64)]
+        for p1, t1, ia, ca, ma, l1, h1 in tiles_:
+            for p2, t2, ib, cb, mb, l2, h2 in tiles_:
+                if (p1, p2) != (one, other) or (one == other and t1 > t2) or (np.maximum(0, np.maximum(l1 - h2, l2 - h1)) ** 2).sum() > radius**2:
+                    continue
+                link = links(turned[t1], turned[t2], threshold, (ma, mb))
                 if t1 == t2:
                     np.fill_diagonal(link, False)
                     link |= link.T
+                if not link.any():
+                    continue
                 na = link @ cb
                 out.append(np.stack([ia[na > 0], ia[na > 0], na[na > 0]], 1))
                 if t1 != t2:
@@ -202,10 +199,9 @@ def _of_length(vectors: DataFrame, dim: int, threshold: float) -> DataFrame:
                     out.append(np.stack([ib[nb > 0], ib[nb > 0], nb[nb > 0]], 1))
                 e = _forest(link, ia, ib)
                 out.append(np.concatenate([e, np.zeros((len(e), 1), np.int64)], 1))
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["a", "b", "n"])
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b", "n"])
 
-    found = stored(pairs.mapInPandas(compare, "a long, b long, n long"), "links")
+    found = stored(met.groupBy("cell").applyInPandas(compare, "a long, b long, n long"), "links")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     comp = components(found.where("a <> b").select("a", "b")).select(F.col("id").alias("rep"), "component")
     about = reps.select("key", "rep", "copies").join(counts, "rep", "left").join(comp, "rep", "left")

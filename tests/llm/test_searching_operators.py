@@ -136,6 +136,28 @@ def test_near_vectors(spark):
         assert sorted(map(tuple, got.collect())) == sorted((i, n[i], root[i], root[i] == i) for i in rows)
 
 
+def test_near_vectors_shuffles_a_tile_once_a_panel(spark, monkeypatch):
+    """Many tiles in few panels: every pair of tiles meets in one cell, and no tile is copied more often than there are panels."""
+    monkeypatch.setattr(near_vectors, "TILE", 16)
+    monkeypatch.setattr(near_vectors, "PANELS", 4)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 12))
+    x[300:400] = x[:100] + rng.normal(size=(100, 12)) * 0.05
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    cells = near_vectors.in_cells
+    monkeypatch.setattr(near_vectors, "in_cells", lambda *a: seen.append((a[1], cells(*a))) or seen[0][1])
+    got = sorted(tuple(r) for r in near_vectors.near_duplicates(df).select("vec_id", "n_links", "component_id").collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    links = list(zip(a.tolist(), b.tolist(), strict=True))
+    n, root = Counter(i for p in links for i in p), grouped(dict(enumerate(x)), links)
+    assert links and got == sorted((i, n[i], root[i]) for i in range(700))
+    ((panels, met),) = seen
+    copies = Counter(r.tile for r in met.select("tile").collect())
+    assert panels == 4 and len(copies) > 40 and max(copies.values()) <= panels
+
+
 def test_nearest_recall(spark):
     for df in vectors(spark):
         _, good = sound(df)
