@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 #: File endings and the types they stand for.
 TYPES = {"yml": "yaml", "md": "text", "markdown": "text", "rst": "text", "log": "text", "py": "text", "sh": "text", "toml": "text", "ini": "text", "cfg": "text", "conf": "text", "htm": "html", "tsv": "csv", "": "text"}
+#: Rows of a partition of spread().
+SPREAD_ROWS = 50_000
 STRUCTURED = ("csv", "json", "yaml", "xml", "xlsx")
 
 
@@ -41,19 +43,27 @@ def calc_ready(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).write.option("sep", "\t").option("header", True).option("quote", "").mode("overwrite").csv(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in partitions (by the keys, if given) of about SPREAD_ROWS rows, so that what a task holds does not grow with the table.
+
+    A shuffle's size says little where texts and windows follow it; left to it, a few tasks would get all rows."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SPREAD_ROWS))
+    return df.repartition(n, *keys)
+
+
 def rendered_orders(orders: DataFrame) -> DataFrame:
     """doc_id, text: a document for each customer, with a heading, and a list item and fields for each order."""
     line = lambda k, v: F.concat(F.lit(f"\n{k}: "), v)
     block = F.concat(F.lit("- order "), F.col("o_orderkey").cast("string"), line("STATUS", F.col("o_orderstatus")), line("TOTAL", F.floor("o_totalprice").cast("string")), line("DATE", F.date_format("o_orderdate", "yyyy-MM-dd")), line("PRIORITY", F.col("o_orderpriority")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))), lambda x: x["b"])
-    return orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(parts.alias("p")).select("doc_id", F.concat(F.lit("# Customer "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join("p", "\n\n")).alias("text"))
+    return spread(orders, "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(parts.alias("p")).select("doc_id", F.concat(F.lit("# Customer "), F.col("doc_id").cast("string"), F.lit("\n\n"), F.array_join("p", "\n\n")).alias("text"))
 
 
 def rendered_accounts(orders: DataFrame) -> DataFrame:
     """doc_id, text: a page of prose lines for each customer: dates, a place (not for every fifth), amounts, figures by category, towns."""
     urgent, low = (F.count_if(F.col("o_orderpriority") == p).cast("string") for p in ("1-URGENT", "5-LOW"))
     day = lambda d: F.date_format(d, "d MMMM yyyy")
-    each = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(
+    each = spread(orders, "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(
         day(F.min("o_orderdate")).alias("first"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd").alias("last"), F.format_number(F.sum(F.floor("o_totalprice")), 0).alias("total"), F.count("*").cast("string").alias("n"), urgent.alias("urgent"), low.alias("low")
     )
     place = F.element_at(F.array(F.lit("Jaffa"), F.lit("Acre"), F.lit("Cyprus")), (F.col("doc_id") % 3 + 1).cast("int"))
