@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 
 def kind_of(v: Column) -> Column:
     """object, array, string, number, boolean or null."""
@@ -52,17 +54,20 @@ def shapes(docs: DataFrame, json_col: str, depth: int = 6) -> DataFrame:
 
 def scalars(docs: DataFrame, id_col: str, json_col: str, depth: int = 6) -> DataFrame:
     """id, path, kind, value of every value that is neither object nor array."""
-    out = None
-    for level in walked(docs, id_col, json_col, depth):
-        kind = kind_of(F.col("v"))
-        found = level.where(F.col("v").isNotNull() & ~kind.isin("object", "array")).select(id_col, "path", kind.alias("kind"), F.try_variant_get("v", "$", "string").alias("value"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    level = docs.select(id_col, F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
+    for _ in range(depth):
+        # one pass over the table: a level opens what it can and hands on the scalars of those above; whole containers are not carried along
+        held = level.withColumn("held", F.when(~kind_of(F.col("v")).isin("object", "array"), F.col("v")))
+        opened = held.lateralJoin(docs.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+        step = F.when(F.col("held").isNotNull(), F.col("path")).when(F.col("key").isNull(), F.concat("path", F.lit("[]"))).otherwise(F.concat("path", F.lit("."), "key"))
+        level = opened.select(id_col, step.alias("path"), F.coalesce("held", "value").alias("v")).where("v is not null")
+    kind = kind_of(F.col("v"))
+    return level.where(~kind.isin("object", "array")).select(id_col, "path", kind.alias("kind"), F.try_variant_get("v", "$", "string").alias("value"))
 
 
 def rendered(orders: DataFrame) -> DataFrame:
     """doc_id, json: nested JSON for each customer; every seventh is no JSON and every eleventh null."""
     order = F.struct(F.col("o_orderkey").alias("key"), F.struct(F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 2 == 0, F.array(F.col("o_orderpriority"), F.lit("x"))).alias("tags")).alias("about"))
     listed = F.array_sort(F.collect_list(order))
-    each = orders.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.to_json(F.struct(F.first("o_custkey").alias("id"), (F.first("o_custkey") % 2 == 0).alias("even"), listed.alias("orders"))).alias("json"))
+    each = spread(orders, "o_custkey").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.to_json(F.struct(F.first("o_custkey").alias("id"), (F.first("o_custkey") % 2 == 0).alias("even"), listed.alias("orders"))).alias("json"))
     return each.select("doc_id", F.when(F.col("doc_id") % 11 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, "{no json").otherwise(F.col("json")).alias("json"))
