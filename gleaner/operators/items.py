@@ -9,9 +9,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 # Characters of a snippet, keys and columns that one names, lines of a table it samples; a header line.
 SNIPPET_CHARS, SNIPPET_KEYS, SNIPPET_COLUMNS, SAMPLE_LINES = 260, 16, 20, 6
 HEADER = re.compile(r"^(From|To|Date|Subject):\s*(.+)$", re.IGNORECASE)
@@ -58,13 +61,13 @@ def items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind:
     """id, subject, sender, date, snippet of every text.  A null text is empty."""
     src = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            found = pd.DataFrame([item(t, kind) for t in df["t"]], columns=["subject", "sender", "date", "snippet"])
-            yield pd.concat([df["id"].reset_index(drop=True), found], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            found = zip(*(item(t, kind) for t in b.column("t").to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x, pa.string()) for x in found)], names=["id", "subject", "sender", "date", "snippet"])
 
     schema = f"id {src.schema['id'].dataType.simpleString()}, subject string, sender string, date string, snippet string"
-    return src.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return src.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def leaves(data: Any, most: int = LIST_ENTRIES, whole_lists: bool = False, at: str = "$") -> Iterator[tuple[str, str]]:

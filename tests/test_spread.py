@@ -29,7 +29,7 @@ def test_batches_are_cut_by_bytes(monkeypatch):
     assert [t for b in got[:5] for t in b["t"]] == texts
 
 
-@pytest.mark.parametrize("module", ["denoise"])
+@pytest.mark.parametrize("module", ["denoise", "items"])
 def test_texts_are_read_in_slices(spark, tmp_path, module):
     """A batch of many texts goes through in several pieces with all its rows."""
     import importlib
