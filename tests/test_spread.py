@@ -8,7 +8,7 @@ from gleaner.sources import tables
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["slot_collect", "json_scalars", "unit_scores"])
+@pytest.mark.parametrize("name", ["slot_collect", "json_scalars", "unit_scores", "unresolved_evidence"])
 def test_partitions_grow_with_the_table(spark, monkeypatch, name):
     monkeypatch.setattr(tables, "SPREAD_ROWS", 100)
     assert tables.table(spark, SF, "orders").count() > 1_200
