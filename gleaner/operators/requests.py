@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: What may be wanted, scopes and types; other words for them; the most needles, slots and aliases.
 WANTS = ("fact", "count", "verbatim", "table", "schema", "list")
 WANT_WORDS = {
@@ -186,4 +188,5 @@ def rendered(part: DataFrame) -> DataFrame:
         form('{"goal": "s", "slots": "\\"id\\": \\"p', key, '\\", \\"question\\": \\"What is it?\\" <b> \\"id\\": \\"q\\", \\"question\\": \\"Who was it?\\", \\"expected\\": \\"Name\\""}'),
     ]
     request = reduce(lambda otherwise, k: F.when(F.col("p_partkey") % len(forms) == k, forms[k]).otherwise(otherwise), range(len(forms)), F.lit(None).cast("string"))
-    return part.select(F.col("p_partkey").alias("request_id"), request.alias("request"))
+    # parsing costs much more than reading: a file of few blocks would be the work of few tasks
+    return spread(part).select(F.col("p_partkey").alias("request_id"), request.alias("request"))

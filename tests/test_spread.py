@@ -41,3 +41,11 @@ def test_texts_are_read_in_slices(spark, tmp_path, module):
     assert sum(len(t) for _, t in rows) > 3 * batches.SLICE_BYTES
     got = done(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted(r.doc_id for r in got) == list(range(200))
+
+
+def test_requests_of_a_file_of_one_block_are_many_tasks(spark, monkeypatch):
+    from gleaner.operators import requests
+
+    monkeypatch.setattr(tables, "SPREAD_ROWS", 10)
+    part = tables.table(spark, SF, "part")
+    assert requests.rendered(part).rdd.getNumPartitions() == -(-part.count() // 10) > 4
