@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,15 +33,24 @@ def is_heading(line: str) -> bool:
     return line[-1] not in ".?!;" and sum(w[0].isupper() for w in words) >= max(1, len(words) - 1)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often use names it; an expression named twice is evaluated (and planned) twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def reads_as_heading(line: Column) -> Column:
     """is_heading() as an expression, for lines without outer blanks."""
-    words = F.regexp_extract_all(line, F.lit(WORD.pattern), F.lit(0))
     digits = F.length(F.regexp_replace(line, "[^0-9]", ""))
     plain = F.length(line).between(1, HEADING_CHARS) & ~line.rlike("https?://") & ~line.rlike(f"^{NUMERIC.pattern}$")
-    fits = F.size(words).between(1, HEADING_WORDS) & (digits <= F.greatest(F.lit(3), F.floor(F.length(line) / 5)))
-    marked = line.startswith("#") | line.rlike(NUMBERED.pattern) | ((F.size(words) > 1) & (F.upper(line) == line))
-    titled = ~line.rlike("[.?!;]$") & (F.size(F.filter(words, lambda w: w.rlike("^[A-Z]"))) >= F.greatest(F.lit(1), F.size(words) - 1))
-    return F.coalesce(plain & fits & (marked | titled), F.lit(False))
+    marked, shouted, ended = line.startswith("#") | line.rlike(NUMBERED.pattern), F.upper(line) == line, line.rlike("[.?!;]$")
+
+    def fits(words: Column) -> Column:
+        titled = ~ended & (F.size(F.filter(words, lambda w: w.rlike("^[A-Z]"))) >= F.greatest(F.lit(1), F.size(words) - 1))
+        return F.size(words).between(1, HEADING_WORDS) & (digits <= F.greatest(F.lit(3), F.floor(F.length(line) / 5))) & (marked | (shouted & (F.size(words) > 1)) | titled)
+
+    # most prose ends as a sentence, and its words need not be told apart
+    may = plain & (~ended | shouted | marked)
+    return F.coalesce(may & let(F.regexp_extract_all(line, F.lit(WORD.pattern), F.lit(0)), fits), F.lit(False))
 
 
 def pieces(text: str) -> list[tuple[int, int, str]]:

@@ -1,5 +1,7 @@
 """What a task holds does not grow with the table: queries over rendered tables run in partitions of so many rows."""
 
+import re
+
 import pytest
 
 from gleaner.plans.catalog import QUERIES
@@ -49,3 +51,10 @@ def test_requests_of_a_file_of_one_block_are_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(tables, "SPREAD_ROWS", 10)
     part = tables.table(spark, SF, "part")
     assert requests.rendered(part).rdd.getNumPartitions() == -(-part.count() // 10) > 4
+
+
+def test_answers_read_the_orders_once(spark):
+    """Texts that lie by customer give all slots' answers, those of lists as well, without a second reading, shuffle or join."""
+    plan = QUERIES["typed_answers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+    assert len(re.findall(r"\bExchange\b", plan)) == 1
